@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrule.llm import bpe
+from ferrule.llm import bpe, jaccard
 from ferrule.llm.common import read
 
 
@@ -14,7 +14,15 @@ def op1_byte_bpe(spark, d):
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
-QUERIES = {"op1_byte_bpe": op1_byte_bpe}
+def op9_ngram_jaccard(spark, d):
+    """Size of each document's shingle set and its class of similar documents."""
+    return jaccard.join(read(spark, d, "documents"))
+
+
+QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
+}
 SQL: dict[str, str] = {}
 
 
