@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,3 +43,38 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     paths.clear()
+
+
+def block_pairs(placed: DataFrame, place: list[str], who: str, block: int) -> DataFrame:
+    """Deal what meets at one place out to pairs of blocks.
+
+    `placed` has one row for each place and `who`.  A place of n rows has
+    ceil(n / block) blocks, by the hash of `who`; a row goes to every pair that its
+    block is in.  Returns the columns of `placed` with p <= q, the pair, and mine,
+    the row's own block, so that any two rows of a place meet in exactly one pair
+    (rows of one block in the pair of that block with itself).  Places of a single
+    row are left out.
+    """
+    sizes = placed.groupBy(*place).agg(F.count("*").alias("__n")).where("__n > 1")
+    n = F.ceil(F.col("__n") / block).cast("int")
+    dealt = placed.join(sizes, place).withColumns({"__b": n, "mine": F.pmod(F.xxhash64(who), n).cast("int")})
+    dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
+    return dealt.withColumns({"p": F.least("mine", "__o"), "q": F.greatest("mine", "__o")}).drop("__n", "__b", "__o")
+
+
+class Forest:
+    """Links that join what wasn't joined before."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
