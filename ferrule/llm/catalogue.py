@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrule.llm import bpe, jaccard, substring, vectors
+from ferrule.llm import bpe, jaccard, substring, toxicity, vectors
 from ferrule.llm.common import read
 
 
@@ -14,6 +14,11 @@ def op1_byte_bpe(spark, d):
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_subword_toxicity(spark, d):
+    """Toxicity score of every document."""
+    return toxicity.classify(read(spark, d, "documents"), read(spark, d, "labels"))
+
+
 def op4_collision_projections(spark, d):
     """Links and class of every embedding."""
     return vectors.near_duplicates(read(spark, d, "embeddings"))
@@ -31,6 +36,7 @@ def op9_ngram_jaccard(spark, d):
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op3_subword_toxicity": op3_subword_toxicity,
     "op4_collision_projections": op4_collision_projections,
     "op5_line_dedup": op5_line_dedup,
     "op9_ngram_jaccard": op9_ngram_jaccard,
