@@ -184,6 +184,7 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
     units = _units(narrow.where("id is not null"))
     firsts = units.groupBy("h1", "h2").agg(F.min(F.struct("id", "u")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("f.id").alias("fid"), F.col("f.u").alias("fu"))
+    firsts = materialise(firsts, keep=scratch)  # so that the join below has an exchange of its own on either side, and a frequent unit's can be split
     repeats = units.join(firsts, ["h1", "h2"]).where("id <> fid or u <> fu").select("id", "u", "w", "lw", "rw", "fid", "fu")
     runs = materialise(_runs(repeats, min_words), keep=scratch)
     keepers = runs.select(F.col("lid").alias("id"), F.struct(F.col("lu").alias("u"), F.lit(-1).alias("side")).alias("ask")).union(runs.select("rid", F.struct(F.col("ru").alias("u"), F.lit(1).alias("side")))).distinct()
