@@ -93,7 +93,7 @@ def shingles(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(total), out_at
 
 
-def slices(column: pa.Array, most: int = 1 << 22):
+def slices(column: pa.Array, most: int = 1 << 20):
     """Begin and end of runs of rows with about `most` bytes, at least one row each."""
     _, at = text_bytes(column)
     a = 0
