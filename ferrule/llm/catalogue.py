@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrule.llm import bpe, jaccard, substring, toxicity, vectors
+from ferrule.llm import bpe, decontaminate, jaccard, substring, toxicity, vectors
 from ferrule.llm.common import read
 
 
@@ -29,6 +29,11 @@ def op5_line_dedup(spark, d):
     return substring.remove(read(spark, d, "documents")).select("doc_id", "text", "removed")
 
 
+def op8_latent_decontamination(spark, d):
+    """Which documents hold which items of the benchmark, and where."""
+    return decontaminate.find(read(spark, d, "documents"), read(spark, d, "benchmark"))
+
+
 def op9_ngram_jaccard(spark, d):
     """Size of each document's shingle set and its class of similar documents."""
     return jaccard.join(read(spark, d, "documents"))
@@ -39,6 +44,7 @@ QUERIES = {
     "op3_subword_toxicity": op3_subword_toxicity,
     "op4_collision_projections": op4_collision_projections,
     "op5_line_dedup": op5_line_dedup,
+    "op8_latent_decontamination": op8_latent_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 SQL: dict[str, str] = {}
