@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ferrule.llm import bpe, decontaminate, jaccard, substring, toxicity, vectors
+from ferrule.llm import bpe, decontaminate, html, jaccard, substring, toxicity, vectors
 from ferrule.llm.common import read
 
 
@@ -14,6 +14,11 @@ def op1_byte_bpe(spark, d):
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op2_html_templates(spark, d):
+    """Main text of every page."""
+    return html.extract(read(spark, d, "pages"))
+
+
 def op3_subword_toxicity(spark, d):
     """Toxicity score of every document."""
     return toxicity.classify(read(spark, d, "documents"), read(spark, d, "labels"))
@@ -41,6 +46,7 @@ def op9_ngram_jaccard(spark, d):
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_html_templates": op2_html_templates,
     "op3_subword_toxicity": op3_subword_toxicity,
     "op4_collision_projections": op4_collision_projections,
     "op5_line_dedup": op5_line_dedup,
