@@ -32,7 +32,7 @@ from ferrule.llm import words as W
 #: Rows of the embedding table and its width; lengths of n-grams in bytes, word ends included; words in a window.
 BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5, 6), 1
 #: The classifier is fitted on at most so many labelled documents of each class, none longer than LONGEST characters.
-TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 2000, 6000, 100_000
+TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 2000, 4000, 100_000
 #: N-grams of fewer training documents have no vector; documents that smooth the log-odds.
 LEAST, SMOOTH = 4, 5.0
 #: Rounds of choosing windows, passes over them in each, step size, and further windows of each clean document.
@@ -68,19 +68,48 @@ def bags(raw: np.ndarray, start: np.ndarray, end: np.ndarray, powers: W.Powers)
 
 
 class Vocabulary:
-    """The distinct words of some rows, and each row's words as numbers of distinct words."""
+    """The distinct words of some rows, and each row's words as numbers of distinct words.
+
+    Works through the text in slices, so that what it holds is a number a word and
+    the n-grams of distinct words."""
 
     def __init__(self, column: pa.Array, powers: W.Powers):
-        raw, at = W.text_bytes(column)
-        h, start, end, self.rows = W.words(raw, at, powers, breaks=_BREAK)
-        _, first, self.word = np.unique(h, return_index=True, return_inverse=True)
-        self.grams, self.gram_at = bags(raw, start[first], end[first], powers)
+        hashes, known, text, size, rows = [], [], [], [], [np.zeros(1, np.int64)]
+        for a, b in W.slices(column):
+            raw, at = W.text_bytes(W.lowered(column.slice(a, b - a)))
+            h, start, end, where = W.words(raw, at, powers, breaks=_BREAK)
+            new, first = np.unique(h, return_index=True)
+            n = (end - start)[first]
+            inside = np.repeat(start[first] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum()) if len(n) else n
+            hashes.append(h)
+            known.append(new)
+            text.append(raw[inside])
+            size.append(n)
+            rows.append(where[1:] + rows[-1][-1])
+        none = np.zeros(0, np.uint64)
+        hashes, known = (np.concatenate([none, *x]) for x in (hashes, known))
+        self.rows = np.concatenate(rows)
+        distinct, first = np.unique(known, return_index=True)
+        self.word = np.searchsorted(distinct, hashes).astype(np.int32)
+        raw, end = np.concatenate([np.zeros(0, np.uint8), *text]), np.cumsum(np.concatenate([np.zeros(0, np.int64), *size]))
+        start = np.r_[0, end][:-1]
+        grams, at = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for a in range(0, len(first), 20_000):
+            some = first[a : a + 20_000]
+            got, where = bags(raw, start[some], end[some], powers)
+            grams.append(got)
+            at.append(where[1:] + at[-1][-1])
+        self.grams, self.gram_at = np.concatenate(grams), np.concatenate(at)
 
 
 def word_values(v: Vocabulary, table: np.ndarray) -> np.ndarray:
     """The mean of the table over each distinct word's n-grams."""
-    total = np.r_[0.0, np.cumsum(table[v.grams], dtype=np.float64)]
-    return (total[v.gram_at[1:]] - total[v.gram_at[:-1]]) / np.diff(v.gram_at)
+    out = np.zeros(len(v.gram_at) - 1)
+    for a in range(0, len(out), 20_000):
+        at = v.gram_at[a : a + 20_001]
+        total = np.r_[0.0, np.cumsum(table[v.grams[at[0] : at[-1]]], dtype=np.float64)]
+        out[a : a + 20_000] = (total[at[1:] - at[0]] - total[at[:-1] - at[0]]) / np.diff(at)
+    return out
 
 
 def window_means(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**64, 256, dtype=np.uint64)
@@ -24,6 +25,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def lowered(column: pa.Array) -> pa.Array:
+    """Lower case, letter by letter, so that code points keep their places."""
+    return pc.utf8_lower(column.cast(pa.large_string()))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column, end to end, and where each row begins.  Null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")
