@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.llm import bpe, decontaminate, html, jaccard, substring, toxicity, vectors
+from pyspark.sql import functions as F
+
+from ferrule.llm import bpe, decontaminate, html, jaccard, packing, substring, toxicity, vectors
 from ferrule.llm.common import read
 
 
@@ -34,6 +36,15 @@ def op5_line_dedup(spark, d):
     return substring.remove(read(spark, d, "documents")).select("doc_id", "text", "removed")
 
 
+def op6_packed_tokens(spark, d):
+    """All documents' token ids in rows of 2048, written, and what each row holds."""
+    import public_tokenizers
+
+    path = packing.write(packing.pack(read(spark, d, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    rows = spark.read.parquet(path)
+    return rows.select("split", "stretch", "row", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "cu_seqlens", "resets", "doc_ids", "starts")
+
+
 def op8_latent_decontamination(spark, d):
     """Which documents hold which items of the benchmark, and where."""
     return decontaminate.find(read(spark, d, "documents"), read(spark, d, "benchmark"))
@@ -50,6 +61,7 @@ QUERIES = {
     "op3_subword_toxicity": op3_subword_toxicity,
     "op4_collision_projections": op4_collision_projections,
     "op5_line_dedup": op5_line_dedup,
+    "op6_packed_tokens": op6_packed_tokens,
     "op8_latent_decontamination": op8_latent_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
