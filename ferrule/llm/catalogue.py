@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, decontaminate, html, jaccard, packing, substring, toxicity, vectors
+from ferrule.llm import bpe, decontaminate, html, jaccard, licenses, packing, substring, toxicity, vectors
 from ferrule.llm.common import read
 
 
@@ -55,6 +55,11 @@ def op9_ngram_jaccard(spark, d):
     return jaccard.join(read(spark, d, "documents"))
 
 
+def op10_license_dice(spark, d):
+    """The licences that each document states."""
+    return licenses.scan(read(spark, d, "documents"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_html_templates": op2_html_templates,
@@ -64,8 +69,9 @@ QUERIES = {
     "op6_packed_tokens": op6_packed_tokens,
     "op8_latent_decontamination": op8_latent_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_license_dice": op10_license_dice,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op10_license_dice": licenses.oracle_sql()}
 
 
 def queries() -> dict:
