@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ferrule.llm import bpe, decontaminate, html, jaccard, licenses, packing, substring, toxicity, vectors
+from ferrule.llm import bpe, decontaminate, html, jaccard, licenses, packing, quotes, substring, toxicity, vectors
 from ferrule.llm.common import read
 
 
@@ -45,6 +45,11 @@ def op6_packed_tokens(spark, d):
     return rows.select("split", "stretch", "row", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), "cu_seqlens", "resets", "doc_ids", "starts")
 
 
+def op7_quotation_linking(spark, d):
+    """Messages without quotes, tied to the messages that they answer."""
+    return quotes.link(read(spark, d, "conversations"))
+
+
 def op8_latent_decontamination(spark, d):
     """Which documents hold which items of the benchmark, and where."""
     return decontaminate.find(read(spark, d, "documents"), read(spark, d, "benchmark"))
@@ -67,15 +72,23 @@ QUERIES = {
     "op4_collision_projections": op4_collision_projections,
     "op5_line_dedup": op5_line_dedup,
     "op6_packed_tokens": op6_packed_tokens,
+    "op7_quotation_linking": op7_quotation_linking,
     "op8_latent_decontamination": op8_latent_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_license_dice": op10_license_dice,
 }
-SQL: dict[str, str] = {"op10_license_dice": licenses.oracle_sql()}
+SQL: dict[str, str] = {"op7_quotation_linking": quotes.oracle_sql(), "op10_license_dice": licenses.oracle_sql()}
+
+
+def pipeline(spark, d):
+    """The stages of corpus_pipeline.py over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": pipeline}
 
 
 def oracle_sql() -> dict:
