@@ -34,12 +34,12 @@ from ferrule.llm.common import materialise
 
 #: Words in a block; a search window is two blocks.  Items searched for at a time.  Latent dimensions beyond one an item, and further columns of the random matrix.
 BLOCK, BATCH, EXTRA, SPARE = 16, 256, 32, 8
-#: A word of more than this share of the blocks takes no part in the search; words that a window must have at least.
-COMMON, FEWEST = 0.01, 2
+#: A word of more than this share of the blocks takes no part in the search, but each item's RAREST do; words that a window must have at least.
+COMMON, RAREST, FEWEST = 0.0005, 8, 3
 #: Cosine from which a window is verified; share of an item's idf that the common subsequence must hold, and with an answer nearby.
-COSINE, SHARE, SHARE_WITH_ANSWER = 0.35, 0.6, 0.4
-#: Items longer than this are cut into pieces of this many words, each searched for by itself.
-LONGEST_ITEM = 256
+COSINE, SHARE, SHARE_WITH_ANSWER = 0.5, 0.6, 0.4
+#: Items longer than this are cut into even pieces of at most so many words, each searched for by itself.
+LONGEST_ITEM = 64
 SEED = 5
 
 #: ASCII other than letters and digits parts words.
@@ -62,6 +62,7 @@ class Items:
                     self.ids.append(ident)
                     self.words.append(piece)
                     self.answers.append(answer_hashes[0][answer_hashes[3][i] : answer_hashes[3][i + 1]])
+        self.fewest = FEWEST
         bits = 20
         self.mask = np.uint64((1 << bits) - 1)
         self.maybe = np.zeros(1 << bits, bool)
@@ -78,7 +79,12 @@ class Items:
 
     def weigh(self, counts: np.ndarray, blocks: int) -> None:
         self.idf = np.log((blocks + 1) / (counts + 0.5)).clip(1e-3).astype(np.float32)
-        self.weight = np.where(counts <= max(COMMON * blocks, 8), self.idf, 0).astype(np.float32)
+        useful = counts <= max(COMMON * blocks, 8)
+        for word in self.words:
+            distinct = np.unique(word)
+            useful[distinct[np.argsort(counts[distinct], kind="stable")[:RAREST]]] = True
+            self.fewest = min(self.fewest, len(distinct))
+        self.weight = np.where(useful, self.idf, 0).astype(np.float32)
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Items as unit rows: row, word, weight."""
@@ -215,21 +221,22 @@ def _decompose(texts: DataFrame, shared, items: Items) -> None:
 
 
 def common_subsequence(item: np.ndarray, text: np.ndarray, weight: np.ndarray) -> tuple[float, int, int]:
-    """The greatest weight of a common subsequence, and where in `text` it begins and ends (exclusive; the shortest such end)."""
-    best = np.zeros(len(text) + 1)
-    begin = np.zeros(len(text) + 1, np.int64)  # where the best subsequence of text[:j] begins
-    spots = np.arange(len(text))
+    """The greatest weight of a common subsequence, and where in `text` it begins and ends (exclusive; the first such end)."""
+    n = len(text)
+    best = np.zeros(n + 1)  # of text[:j]
+    begin = np.zeros(n + 1, np.int64)  # where that subsequence begins
+    spots, places = np.arange(n), np.arange(n + 1)
     for w, v in zip(item, weight, strict=True):
         match = text == w
         if not match.any():
             continue
         took = np.where(match, best[:-1] + v, -1.0)
         where = np.where(best[:-1] > 0, begin[:-1], spots)
-        new = np.r_[0.0, np.where(took > best[1:], took, best[1:])]
-        new_begin = np.r_[0, np.where(took > best[1:], where, begin[1:])]
-        run = np.maximum.accumulate(new)
-        source = np.maximum.accumulate(np.where(new >= run, np.arange(len(new)), 0))
-        best, begin = run, new_begin[source]
+        better = took > best[1:]
+        new, new_begin = best.copy(), begin.copy()
+        new[1:][better], new_begin[1:][better] = took[better], where[better]
+        best = np.maximum.accumulate(new)
+        begin = new_begin[np.maximum.accumulate(np.where(new >= best, places, 0))]
     end = int(np.searchsorted(best, best[-1]))
     return float(best[-1]), int(begin[end]), end
 
@@ -240,13 +247,14 @@ def _search(docs: DataFrame, shared, id_type: str) -> DataFrame:
     def run(batches):
         items, powers = shared.value, W.Powers()
         words = len(items.vocabulary)
+        listed = [list(zip(items.vocabulary[w].tolist(), items.idf[w].tolist(), strict=True)) for w in items.words]
         for part in _slices(batches, 1):
             out = []
             place, number, block, row, (raw, at, h, start, end, rows, first_block) = _occurrences(part.column(1), items, powers)
             # a window is a block and the next one of its document
             again = block > first_block[row]
             window, word, value, begins, size = _unit(np.r_[block, block[again] - 1], np.r_[number, number[again]], items.weight, words)
-            enough = np.flatnonzero(size >= FEWEST)
+            enough = np.flatnonzero(size >= items.fewest)
             hits = []
             for a in range(0, len(enough), 4096):
                 some = enough[a : a + 4096]
@@ -276,15 +284,17 @@ def _search(docs: DataFrame, shared, id_type: str) -> DataFrame:
                     base = rows[r]
                     lo = max(base, base + (wins[j] - first_block[r]) * BLOCK - len(item))
                     hi = min(rows[r + 1], base + (wins[order[e]] - first_block[r] + 2) * BLOCK + len(item))
-                    weight = items.idf[item]
+                    weight, answer = items.idf[item], items.answers[i]
+                    k, least = e + 1, (SHARE_WITH_ANSWER if len(answer) else SHARE) * float(items.idf[item].sum())
+                    there = set(h[lo:hi].tolist())
+                    if sum(v for w, v in listed[i] if w in there) < least:
+                        continue  # not even in any order
                     got, b, f = common_subsequence(items.vocabulary[item], h[lo:hi], weight)
                     share = got / float(weight.sum())
-                    answer = items.answers[i]
                     if share >= SHARE or (share >= SHARE_WITH_ANSWER and len(answer) and np.isin(answer, h[lo:hi]).all()):
                         key = (r, items.ids[i])
                         if key not in best or share > best[key][1]:
                             best[key] = (float(c), share, lo + b, lo + f - 1)
-                    k = e + 1
                 if best:
                     points = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
                 for (r, ident), (c, share, b, f) in best.items():
