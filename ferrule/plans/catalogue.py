@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from ferrule.plans import relational
+from ferrule.plans import graphs, mining, recommend, relational
 
-MODULES = (relational,)
+MODULES = (relational, mining, recommend, graphs)
 
 
 def queries() -> dict:
