@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +51,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
 )
 
+# Common English words, which make poor hooks.
+_COMMON = frozenset("a all an and any as at be by can for from has in is it not of on or other that the this to under use was with without you".split())
+
 #: Where a text parts into sentences, and what isn't a word; the same in Java's and RE2's syntax.
 SENTENCE = r"[.!?][ \t\r]+|[\r\n]+"
 LINE = r"[\r\n]+"
@@ -87,16 +91,23 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
         raise ValueError("no template has two words")
     least, most = min(t[2] for t in known), max(t[3] for t in known)
     # each explode is a barrier that expressions aren't moved across, so that none of them is evaluated twice
-    text = F.lower(F.col(text_col).cast("string"))
+    words = hooks(known, threshold)
+    short = "|".join(w for w in words if len(w) <= 4)
+    spelt = {x for w in words if len(w) > 4 for x in (w, w.replace("license", "licence"))}
+    spelt = sorted(w for w in spelt if not any(x in w for x in spelt if x != w))
+    docs = docs.select(F.col(id_col).alias("__id"), F.explode(F.array(F.lower(F.col(text_col).cast("string")))).alias("low"))
+    # whole texts first: one without any hook has no unit with one
+    text = F.col("low")
+    docs = docs.where(reduce(lambda a, b: a | b, [*(F.contains(text, F.lit(w)) for w in spelt), *([text.rlike(rf"\b({short})\b")] if short else [])]))
     units = F.array_distinct(F.concat(F.split(text, SENTENCE), F.split(text, LINE), F.array(text)))
     plain = F.array_distinct(F.transform(units, lambda u: F.trim(F.replace(F.regexp_replace(u, NO_WORD, F.lit(" ")), F.lit("licence"), F.lit("license")))))
-    hooked = "(^| )(" + "|".join(hooks(known, threshold)) + ")( |$)"
-    exploded = docs.select(F.col(id_col).alias("__id"), F.explode(plain).alias("unit")).where((F.length("unit") >= 2 * least + 1) & F.col("unit").rlike(hooked))
+    hooked = "(^| )(" + "|".join(words) + ")( |$)"
+    exploded = docs.select("__id", F.explode(plain).alias("unit")).where((F.length("unit") >= 2 * least + 1) & F.col("unit").rlike(hooked))
     # a set of n bigrams takes n + 1 words; repeated ones may make more, so words bound it from below alone
     w = exploded.select("__id", F.split("unit", " ").alias("w"))
     pairs = F.zip_with("w", F.slice("w", 2, F.size("w")), lambda x, y: F.concat(x, F.lit(" "), y))
     cut = w.select("__id", F.explode(F.array(F.sort_array(F.array_distinct(F.array_compact(pairs))))).alias("g")).withColumn("n", F.size("g"))
-    cut = cut.where(F.col("n").between(least, most)).distinct()
+    cut = cut.where(F.col("n").between(least, most))
     table = docs.sparkSession.createDataFrame(known, "license string, t array<string>, lo int, hi int")
     pairs = cut.join(F.broadcast(table), F.col("n").between(F.col("lo"), F.col("hi")))
     shared = F.size(F.array_intersect("g", "t"))
@@ -121,7 +132,7 @@ def hooks(known, threshold: float) -> list[str]:
         for i in open_:
             for g in free[i]:
                 for w in g:
-                    gain[w] = gain.get(w, 0) + len(w) ** 2  # longer words are rarer
+                    gain[w] = gain.get(w, 0) + (0.001 if w in _COMMON else len(w) if len(w) > 6 else len(w) / 100)  # longer words are rarer
         best = max(sorted(gain), key=gain.__getitem__)
         out.append(best)
         for i in open_:
