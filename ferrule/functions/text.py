@@ -21,4 +21,4 @@ def letter_words(text) -> Column:
 
 def parts(text, delimiter: str = ",") -> Column:
     """A delimited list, each part trimmed."""
-    return F.transform(F.split(text, delimiter), F.trim)
+    return F.transform(F.split(text, delimiter), lambda x: F.trim(x))

@@ -14,8 +14,9 @@ def rmse(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def error_histogram(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     """(bin, n): absolute errors from 0, 1, 2, 3 and from 4 on."""
-    gap = F.least(F.floor(F.abs(F.col(truth) - F.col(predicted))), F.lit(4)).cast("bigint")
-    return rows.where(gap.isNotNull()).groupBy(gap.alias("bin")).agg(F.count("*").alias("n"))
+    gap = F.abs(F.col(truth) - F.col(predicted))
+    # least() passes over nulls, so rows without a prediction go first
+    return rows.where(gap.isNotNull()).groupBy(F.least(F.floor(gap), F.lit(4)).cast("bigint").alias("bin")).agg(F.count("*").alias("n"))
 
 
 def sparsity(ratings: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def having_at_least(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
 
 def keep_frequent(rows: DataFrame, key: str, least: int) -> DataFrame:
     """Rows whose key has at least so many rows."""
-    return rows.join(having_at_least(rows, [key], least).select(key), key, "left_semi")
+    return rows.join(having_at_least(rows, [key], least).select(key), key, "left_semi").select(*rows.columns)
 
 
 def drop_rare(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
@@ -59,7 +59,7 @@ def drop_rare(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
     for key, least in limits.items():
         rare = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") < least).select(key)
         out = out.join(rare, key, "left_anti")
-    return out
+    return out.select(*rows.columns)
 
 
 def universe(*columns: DataFrame) -> DataFrame:
