@@ -113,9 +113,10 @@ def link(messages: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "tur
         at = materialise(at, keep=kept)
         if not at.where("up is not null").limit(1).count():
             break
+        # only messages whose root isn't known yet are joined, in long threads alone after a few rounds
         above = at.select("conv", F.col("turn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("root").alias("r2"))
-        step = at.join(above, ["conv", "up"], "left")
-        at = step.select("conv", "turn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), F.coalesce("r2", "root").alias("root"))
+        step = at.where("up is not null").join(above, ["conv", "up"]).select("conv", "turn", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), F.col("r2").alias("root"))
+        at = at.where("up is null").unionByName(step)
     threads = _rank(at.select("conv", "turn", "root", "depth"))
     out = base.join(linked, ["conv", "turn"]).join(threads, ["conv", "turn"])
     drop(spark, kept[:-1])
