@@ -36,29 +36,41 @@ def extend(level: DataFrame) -> DataFrame:
     return known.groupBy("items").agg(F.count("*").alias("k")).where(F.col("k") == F.size("items")).select("items")
 
 
-def count(candidates: DataFrame, rows: DataFrame) -> DataFrame:
-    """(items, support): in how many baskets each candidate is contained."""
-    wanted = candidates.select("items", F.explode("items").alias("item"))
-    hit = wanted.join(rows, "item").groupBy("items", "basket").agg(F.count("*").alias("k")).where(F.col("k") == F.size("items"))
-    return hit.groupBy("items").agg(F.count("*").alias("support"))
+def occurrences(rows: DataFrame, before: DataFrame | None, candidates: DataFrame | None) -> DataFrame:
+    """(basket, items): sets one longer than those of `before`, in the baskets that hold them.
+
+    A set grows by the greater items of its own basket, so only what occurs together is ever made."""
+    if before is None:
+        grown = rows.select("basket", F.array("item").alias("items"))
+    else:
+        grown = before.join(rows, "basket").where(F.col("item") > F.element_at("items", -1)).select("basket", F.concat("items", F.array("item")).alias("items"))
+    return grown if candidates is None else grown.join(candidates.select("items"), "items", "left_semi")
+
+
+def count(candidates: DataFrame, rows: DataFrame, longest: int) -> DataFrame:
+    """(items, support): in how many baskets each candidate is contained.  All subsets of a candidate must be candidates."""
+    out, held = None, None
+    for size in range(1, longest + 1):
+        held = cut(occurrences(rows, held, candidates.where(F.size("items") == size)))
+        part = held.groupBy("items").agg(F.count("*").alias("support"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def levels(rows: DataFrame, support: int, longest: int) -> Iterator[DataFrame]:
     """Frequent itemsets of 1, 2, ... items.  Baskets are reduced to frequent items; a level of none ends it."""
     level = cut(singles(rows, support))
-    reduced = rows.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi")
-    size = 1
+    reduced = cut(rows.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi").select("basket", "item"))
+    held, size = occurrences(reduced, None, None), 1
     while True:
         yield level
         size += 1
         if size > longest or not level.limit(1).count():
             return
-        if size == 2:
-            a, b = (reduced.select("basket", F.col("item").alias(n)) for n in "xy")
-            counted = a.join(b, "basket").where("x < y").groupBy("x", "y").agg(F.count("*").alias("support")).select(F.array("x", "y").alias("items"), "support")
-        else:
-            counted = count(extend(level), reduced)
-        level = cut(counted.where(F.col("support") >= support))
+        # pairs of frequent items need no candidates: both of their subsets are frequent
+        made = cut(occurrences(reduced, held, extend(level) if size > 2 else None))
+        level = cut(made.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support))
+        held = made.join(level.select("items"), "items", "left_semi")
 
 
 def frequent(rows: DataFrame, support: int, longest: int = 10) -> DataFrame:
@@ -128,7 +140,7 @@ def partition_candidates(rows: DataFrame, support: int, partitions: int, longest
 def by_partitions(rows: DataFrame, support: int, partitions: int, longest: int = 3) -> DataFrame:
     """Frequent itemsets in two phases: candidates of partitions, then exact counts."""
     candidates = cut(partition_candidates(rows, support, partitions, longest))
-    return count(candidates, rows).where(F.col("support") >= support)
+    return count(candidates, rows, longest).where(F.col("support") >= support)
 
 
 def report_lines(sets: DataFrame) -> DataFrame:
