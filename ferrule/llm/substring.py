@@ -1,9 +1,11 @@
 """Substring dedup by unit hashing: units that occurred before are removed, in runs of enough words.
 
-Units are sentences: a line, cut behind each full stop, question or exclamation
-mark that a space follows.  (Whole lines alone miss passages that begin in the
-middle of a line.)  A unit is compared by the 128-bit digest of its words, case
-of A-Z and spacing aside.
+Units are pieces of lines.  Whole lines, or sentences, miss passages that begin
+and end within them, so lines are also cut at places that their words choose:
+behind a word pair whose hash is less than those of the NEAR pairs on either
+side.  Such places are the same wherever a passage stands, at least NEAR + 1
+words apart, and 2 NEAR + 1 words on average.  A unit is compared by the 128-bit
+digest of its words, case of A-Z and spacing aside.
 
 1. Digests are grouped globally, pre-aggregated before the shuffle; each one's
    first occurrence, in the order of (id, position), stays for good.
@@ -30,8 +32,9 @@ from ferrule.llm.common import materialise
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _P1, _P2 = (int(x) | 3 for x in _RNG.integers(1, 2**62, 2))
-_STOP = np.zeros(256, bool)
-_STOP[[ord(c) for c in ".!?"]] = True
+_PAIR = np.uint64(int(_RNG.integers(1, 2**62)) | 1)
+#: Word pairs on either side that a cut's hash is less than.
+NEAR = 3
 #: A run extends by at most so many words at either end; those of a neighbouring unit.
 SIDE = 400
 
@@ -43,18 +46,30 @@ class Units:
         self.hash, self.start, self.end, rows = W.words(raw, at, powers)
         n = len(self.start)
         row_of_word = np.repeat(np.arange(len(at) - 1), np.diff(rows))
-        # a word begins a unit if it is its row's first, if a line ends before it, or if the word before ends with a stop
+        # a word begins a unit if it is its row's first, if a line ends before it, or if there is a cut behind the word before
         new = np.zeros(n, bool)
         if n:
             new[0] = True
             lines = np.r_[0, np.cumsum(raw == 10)]
-            new[1:] = (row_of_word[1:] != row_of_word[:-1]) | (lines[self.start[1:]] != lines[self.end[:-1]]) | _STOP[raw[self.end[:-1] - 1]]
+            new[1:] = (row_of_word[1:] != row_of_word[:-1]) | (lines[self.start[1:]] != lines[self.end[:-1]]) | self._cuts(row_of_word)[:-1]
         self.first = np.flatnonzero(new)
         self.last = np.r_[self.first[1:], n].astype(np.int64) if n else self.first
         self.row = row_of_word[self.first] if n else self.first
         self.unit_at = np.searchsorted(self.row, np.arange(len(at)))
         self.count = self.last - self.first
 
+    def _cuts(self, row: np.ndarray) -> np.ndarray:
+        """Whether there is a cut behind each word."""
+        most = np.uint64(2**64 - 1)
+        pair = np.full(len(row), most)
+        pair[1:] = np.where(row[1:] == row[:-1], W.mix(self.hash[:-1] * _PAIR + self.hash[1:]), most)
+        least = np.full(len(row), most)
+        for k in range(1, NEAR + 1):
+            same = row[k:] == row[:-k]
+            least[k:] = np.minimum(least[k:], np.where(same, pair[:-k], most))
+            least[:-k] = np.minimum(least[:-k], np.where(same, pair[k:], most))
+        return pair < least
+
     def digests(self) -> list[np.ndarray]:
         """Two hashes of each unit's words in order."""
         out = []

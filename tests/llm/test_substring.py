@@ -1,18 +1,27 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
 from ferrule.llm import substring
+from ferrule.llm import words as W
 
 
 def unit_list(text):
-    """(words, spans) of each unit, in plain Python."""
-    units, last_end = [], None
-    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
-        new = last_end is None or "\n" in text[last_end : m.start()] or text[last_end - 1] in ".!?"
-        if new:
+    """(word, place) of each word, unit by unit, in plain Python."""
+    found = [(re.sub("[A-Z]", lambda x: x[0].lower(), m[0]), m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text or "")]
+    raw, at = W.text_bytes(pa.array([text or ""], pa.large_string()))
+    hashes = [int(h) for h in W.words(raw, at, W.Powers())[0]]
+    assert len(hashes) == len(found)
+    top = 2**64 - 1
+    pair = [top] + [int(W.mix(np.array([(a * int(substring._PAIR) + b) % 2**64], np.uint64))[0]) for a, b in zip(hashes, hashes[1:], strict=False)]
+    units = []
+    for i, (w, s, _) in enumerate(found):
+        near = [pair[j] for j in range(i - 1 - substring.NEAR, i + substring.NEAR) if 0 <= j < len(pair) and j != i - 1]
+        if i == 0 or "\n" in text[found[i - 1][2] : s] or pair[i - 1] < min(near, default=top):
             units.append([])
-        units[-1].append((re.sub("[A-Z]", lambda x: x[0].lower(), m[0]), m.start()))
-        last_end = m.end()
+        units[-1].append((w, s))
     return units
 
 
