@@ -45,21 +45,23 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def block_pairs(placed: DataFrame, place: list[str], who: str, block: int) -> DataFrame:
+def block_pairs(placed: DataFrame, place: list[str], who: str, block: int, weight: str | None = None, heaviest: int = 1) -> DataFrame:
     """Deal what meets at one place out to pairs of blocks.
 
     `placed` has one row for each place and `who`.  A place of n rows has
-    ceil(n / block) blocks, by the hash of `who`; a row goes to every pair that its
+    ceil(n / block) blocks, by the hash of `who`, and as many at least as its
+    `weight`, a column, has times `heaviest`; a row goes to every pair that its
     block is in.  Returns the columns of `placed` with p <= q, the pair, and mine,
     the row's own block, so that any two rows of a place meet in exactly one pair
     (rows of one block in the pair of that block with itself).  Places of a single
     row are left out.
     """
-    sizes = placed.groupBy(*place).agg(F.count("*").alias("__n")).where("__n > 1")
-    n = F.ceil(F.col("__n") / block).cast("int")
+    total = F.sum(weight) if weight else F.lit(0)
+    sizes = placed.groupBy(*place).agg(F.count("*").alias("__n"), total.alias("__w")).where("__n > 1")
+    n = F.greatest(F.ceil(F.col("__n") / block), F.least(F.ceil(F.col("__w") / heaviest), F.col("__n"))).cast("int")
     dealt = placed.join(sizes, place).withColumns({"__b": n, "mine": F.pmod(F.xxhash64(who), n).cast("int")})
     dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
-    return dealt.withColumns({"p": F.least("mine", "__o"), "q": F.greatest("mine", "__o")}).drop("__n", "__b", "__o")
+    return dealt.withColumns({"p": F.least("mine", "__o"), "q": F.greatest("mine", "__o")}).drop("__n", "__w", "__b", "__o")
 
 
 class Forest:
