@@ -24,16 +24,22 @@ def hash_parameters(n: int, modulus: int, seed: int = 11) -> list[tuple[int, int
     return list(out)
 
 
-def bloom_positions(value, bits: int = 30_000, n_hashes: int = 20, seed: int = 11) -> Column:
-    """The positions that a string sets; none for null and the empty string."""
-    x = utf8_mod(value, NUMBERS)
+def numbered(rows: DataFrame, value: str, modulus: int, name: str = "__x") -> DataFrame:
+    """`rows` with a string's number, null for null and the empty string: a column of its own, so that many
+    hashes of it don't each work it out again."""
+    return rows.withColumn(name, F.when(F.col(value) != "", utf8_mod(F.col(value), modulus)))
+
+
+def bloom_positions(x, bits: int = 30_000, n_hashes: int = 20, seed: int = 11) -> Column:
+    """The positions that a number sets; none for null."""
     at = F.array_distinct(F.array(*[linear_hash(x, a, b, bits) for a, b in hash_parameters(n_hashes, bits, seed)]))
-    return F.when(value.isNotNull() & (value != ""), at).otherwise(F.array().cast("array<bigint>"))
+    return F.when(x.isNotNull(), at).otherwise(F.array().cast("array<bigint>"))
 
 
 def bloom_bits(values: DataFrame, column: str, bits: int = 30_000, n_hashes: int = 20, seed: int = 11) -> DataFrame:
     """(position): the set bits of a filter of some strings; at most `bits` rows, whatever the input."""
-    return values.select(column).distinct().select(F.explode(bloom_positions(F.col(column), bits, n_hashes, seed)).alias("position")).distinct()
+    numbers = numbered(values.select(column).distinct(), column, NUMBERS)
+    return numbers.select(F.explode(bloom_positions(F.col("__x"), bits, n_hashes, seed)).alias("position")).distinct()
 
 
 def bloom_probe(values: DataFrame, column: str, filled: DataFrame, bits: int = 30_000, n_hashes: int = 20, seed: int = 11) -> DataFrame:
@@ -41,15 +47,14 @@ def bloom_probe(values: DataFrame, column: str, filled: DataFrame, bits: int = 3
 
     The filter is one row with at most `bits` positions, so it is broadcast."""
     one = filled.agg(F.collect_set("position").alias("__bits"))
-    at = bloom_positions(F.col(column), bits, n_hashes, seed)
-    probed = values.crossJoin(F.broadcast(one)).withColumn("__at", at)
+    at = bloom_positions(F.col("__x"), bits, n_hashes, seed)
+    probed = numbered(values, column, NUMBERS).withColumn("__at", at).crossJoin(F.broadcast(one))
     hit = (F.size("__at") > 0) & (F.size(F.array_except("__at", "__bits")) == 0)
-    return probed.withColumn("seen", hit.cast("int")).drop("__bits", "__at")
+    return probed.withColumn("seen", hit.cast("int")).drop("__bits", "__at", "__x")
 
 
-def fm_levels(value, n_hashes: int = FM_HASHES, modulus: int = FM_MODULUS, seed: int = 23) -> list[Column]:
-    """Trailing zeros of each hash of a string."""
-    x = utf8_mod(value, modulus)
+def fm_levels(x, n_hashes: int = FM_HASHES, modulus: int = FM_MODULUS, seed: int = 23) -> list[Column]:
+    """Trailing zeros of each hash of a number."""
     return [trailing_zeros(linear_hash(x, a, b, modulus)) for a, b in hash_parameters(n_hashes, modulus, seed)]
 
 
@@ -67,8 +72,8 @@ def fm_distinct(rows: DataFrame, keys: list, value: str, seed: int = 23) -> Data
     """(keys, estimate): only greatest values are kept a group, so it works on streams too.
 
     Null and empty strings don't count."""
-    some = rows.where(F.col(value).isNotNull() & (F.col(value) != ""))
-    each = [F.max(c).alias(f"__r{i}") for i, c in enumerate(fm_levels(F.col(value), seed=seed))]
+    some = numbered(rows, value, FM_MODULUS).where("__x is not null")
+    each = [F.max(c).alias(f"__r{i}") for i, c in enumerate(fm_levels(F.col("__x"), seed=seed))]
     grouped = some.groupBy(*keys).agg(*each)
     return grouped.withColumn("estimate", fm_estimate(F.array(*[f"__r{i}" for i in range(len(each))]))).drop(*[f"__r{i}" for i in range(len(each))])
 

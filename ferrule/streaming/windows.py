@@ -19,8 +19,8 @@ def sliding_distinct(events: DataFrame, ts: str, value: str, length: str = "30 s
     With `late`, a watermark bounds the state of a stream."""
     rows = events.withWatermark(ts, late) if late else events
     w = F.window(ts, length, slide).alias("w")
-    some = rows.where(F.col(value).isNotNull() & (F.col(value) != ""))
-    each = [F.max(c).alias(f"r{i}") for i, c in enumerate(sketch.fm_levels(F.col(value)))]
+    some = sketch.numbered(rows, value, sketch.FM_MODULUS).where("__x is not null")
+    each = [F.max(c).alias(f"r{i}") for i, c in enumerate(sketch.fm_levels(F.col("__x")))]
     grouped = some.groupBy(w).agg(F.approx_count_distinct(value).alias("approx"), *each)
     levels = F.array(*[f"r{i}" for i in range(len(each))])
     return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), sketch.fm_estimate(levels).alias("estimate"), "approx")
