@@ -78,6 +78,33 @@ def fm_distinct(rows: DataFrame, keys: list, value: str, seed: int = 23) -> Data
     return grouped.withColumn("estimate", fm_estimate(F.array(*[f"__r{i}" for i in range(len(each))]))).drop(*[f"__r{i}" for i in range(len(each))])
 
 
+def line_clusters(values: list[float], k: int, rounds: int = 100) -> list[list[float]]:
+    """K-Means of a few numbers, starting farthest-first from the first; for parameters and reports, not rows."""
+    centres = values[:1]
+    while centres and len(centres) < min(k, len(set(values))):
+        centres.append(max(values, key=lambda v: min(abs(v - c) for c in centres)))
+    groups: list[list[float]] = []
+    for _ in range(rounds):
+        groups = [[] for _ in centres]
+        for v in values:
+            groups[min(range(len(centres)), key=lambda i: (abs(v - centres[i]), i))].append(v)
+        new = [sum(g) / len(g) if g else c for g, c in zip(groups, centres, strict=True)]
+        if new == centres:
+            break
+        centres = new
+    return [g for g in groups if g]
+
+
+def fm_clustered(levels: list[int], k: int = 10, *, powers: bool = False) -> int:
+    """The estimate from greatest trailing zeros by clusters of them, or of their powers of two: the median of the
+    clusters' means, ties to even; 0 of nothing."""
+    means = sorted(sum(g) / len(g) for g in line_clusters([2.0**r if powers else float(r) for r in levels], k))
+    if not means:
+        return 0
+    middle = (means[(len(means) - 1) // 2] + means[len(means) // 2]) / 2
+    return round(middle if powers else 2.0**middle)
+
+
 def reservoir(rows: DataFrame, size: int, key: str, seed: int = 3) -> DataFrame:
     """A uniform sample of `size` rows: those of the least seeded hash of their key, so any order of rows gives the same."""
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)

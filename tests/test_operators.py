@@ -146,6 +146,14 @@ def test_augmentation_bounds(spark):
     assert got == {("three", "t"): pytest.approx(want), ("seven", "t"): pytest.approx(want)}
 
 
+def test_augmentation_by_nearest(spark):
+    ratings = spark.createDataFrame([("u", "a", 5.0), ("u", "b", 1.0), ("v", "t", 3.0)], "user string, item string, stars double")
+    sims = spark.createDataFrame([("a", "t", 0.5), ("b", "t", 0.9)], "a string, b string, sim double")
+    averages = spark.createDataFrame([("a", 4.0), ("b", 4.0), ("t", 3.0)], "item string, average double")
+    one = hybrid.augment(ratings, sims, averages, least=1, below=3, least_similar=1, nearest=1).where("item = 't'").collect()
+    assert [tuple(r) for r in one] == [("u", "t", 1.0)]
+
+
 def test_blend_and_first_model(spark):
     wanted = spark.createDataFrame([("u", x) for x in "abcde"], "user string, item string")
     known = spark.createDataFrame([("u", "a", 5.0), ("u", "b", 9.0)], "user string, item string, stars double")
@@ -233,6 +241,12 @@ def test_bloom_and_distinct_counts(spark):
     assert bits == "1 0 1"
 
 
+def test_counts_by_clusters():
+    assert sketch.line_clusters([1, 2, 10, 11, 50], 3) == [[1, 2], [50], [10, 11]]
+    assert sketch.fm_clustered([3, 3, 3, 3]) == 8 and sketch.fm_clustered([]) == 0
+    assert sketch.fm_clustered([2, 2, 4, 4], 2) == 8 and sketch.fm_clustered([2, 2, 4, 4], 2, powers=True) == 10
+
+
 def test_reservoir_is_uniform_and_stable(spark):
     rows = spark.range(2000).withColumnRenamed("id", "k")
     one = {r.k for r in sketch.reservoir(rows, 200, "k").collect()}
