@@ -12,7 +12,7 @@ def word_counts(texts: DataFrame, doc: str, text: str, stopwords: DataFrame | No
     """(doc, word, n): additive, so documents of several texts need no concatenation."""
     words = texts.select(F.col(doc).alias("doc"), F.explode(letter_words(F.col(text))).alias("word"))
     counts = words.groupBy("doc", "word").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(stopwords.select("word")), "word", "left_anti") if stopwords is not None else counts
+    return counts.join(stopwords.select("word"), "word", "left_anti") if stopwords is not None else counts
 
 
 def drop_rare_words(counts: DataFrame, share: float = 1e-6) -> DataFrame:
