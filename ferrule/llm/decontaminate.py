@@ -12,6 +12,10 @@ Documents are searched in windows of words, for items of a benchmark.
    weigh as much as all the corpus together, so the latent space has room for
    each of them and, beyond, for the strongest directions of the corpus.
 3. Every window is folded into that space and held against all items by cosine.
+   Besides, any stretch of an item's rarer words that together with all the words
+   left out could hold the share that verification asks for is a candidate, so
+   neither cosine nor copies that make an item's words common lose a match
+   within twice the item's length and one window.
 4. Windows that pass are verified: the longest common subsequence of the item's
    words and the text around the window, weighted by idf, must hold a share of
    the item, so that inserted, dropped and changed words are forgiven, but words
@@ -63,6 +67,9 @@ class Items:
                     self.words.append(piece)
                     self.answers.append(answer_hashes[0][answer_hashes[3][i] : answer_hashes[3][i + 1]])
         self.fewest = FEWEST
+        #: What the common subsequence must hold, of an item's idf; words in the longest stretch that is searched as one.
+        self.share = np.array([SHARE_WITH_ANSWER if len(a) else SHARE for a in self.answers])
+        self.span = np.array([2 * len(w) + 2 * BLOCK for w in self.words], np.int64)
         bits = 20
         self.mask = np.uint64((1 << bits) - 1)
         self.maybe = np.zeros(1 << bits, bool)
@@ -85,6 +92,40 @@ class Items:
             useful[distinct[np.argsort(counts[distinct], kind="stable")[:RAREST]]] = True
             self.fewest = min(self.fewest, len(distinct))
         self.weight = np.where(useful, self.idf, 0).astype(np.float32)
+        # an item's rarest words, until those left out hold at most half of what verification asks for
+        self.need = np.zeros(len(self.words))
+        word, item = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, words in enumerate(self.words):
+            distinct, times = np.unique(words, return_counts=True)
+            by = np.argsort(counts[distinct], kind="stable")
+            mass = (self.idf[distinct] * times)[by].astype(np.float64)
+            least = self.share[i] * mass.sum()
+            left = mass.sum() - np.cumsum(mass)
+            n = int(np.argmax(left <= least / 2)) + 1
+            self.need[i] = least - left[n - 1] - 1e-5 * mass.sum()
+            word.append(distinct[by[:n]])
+            item.append(np.full(n, i))
+        word, item = np.concatenate(word), np.concatenate(item)
+        self.owner = item[np.argsort(word, kind="stable")]
+        self.first = np.r_[0, np.cumsum(np.bincount(word, minlength=len(self.vocabulary)))]
+
+    def stretches(self, place: np.ndarray, number: np.ndarray, row: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row, item, begin, end) of stretches that could hold an item's share.
+
+        A common subsequence weighs at most as much as the item's words left out and all places of the others in
+        its stretch, so every one that holds enough has its first such place among the begins."""
+        times = self.first[number + 1] - self.first[number]
+        at = np.repeat(np.arange(len(number)), times)
+        item = self.owner[np.repeat(self.first[number] - np.cumsum(times) + times, times) + np.arange(len(at))]
+        order = np.argsort(item, kind="stable")
+        at, item = at[order], item[order]
+        begin = place[at]
+        end = np.minimum(begin + self.span[item], rows[row[at] + 1])
+        held = np.r_[0.0, np.cumsum(self.idf[number[at]], dtype=np.float64)]
+        width = int(rows[-1]) + 1
+        last = np.searchsorted(item * width + begin, item * width + end)
+        good = held[last] - held[:-1] >= self.need[item]
+        return row[at[good]], item[good], begin[good], end[good]
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Items as unit rows: row, word, weight."""
@@ -255,7 +296,15 @@ def _search(docs: DataFrame, shared, id_type: str) -> DataFrame:
             again = block > first_block[row]
             window, word, value, begins, size = _unit(np.r_[block, block[again] - 1], np.r_[number, number[again]], items.weight, words)
             enough = np.flatnonzero(size >= items.fewest)
-            hits = []
+            n_items = len(items.words)
+            # windows of stretches that could hold an item's share, as window * n_items + item
+            in_row, i, first, last = items.stretches(place, number, row, rows)
+            b0 = first_block[in_row] + (first - rows[in_row]) // BLOCK
+            n = first_block[in_row] + (last - 1 - rows[in_row]) // BLOCK - b0 + 1
+            wins = np.repeat(b0 - np.cumsum(n) + n, n) + np.arange(n.sum())
+            bound = np.unique(wins * n_items + np.repeat(i, n))
+            known = window[begins]
+            hits = [(bound // n_items, bound % n_items, np.zeros(len(bound), np.float32))]
             for a in range(0, len(enough), 4096):
                 some = enough[a : a + 4096]
                 n = size[some]
@@ -263,14 +312,21 @@ def _search(docs: DataFrame, shared, id_type: str) -> DataFrame:
                 latent = np.add.reduceat(items.basis[word[at_]] * value[at_][:, None], np.r_[0, np.cumsum(n)[:-1]], axis=0)
                 norm = np.linalg.norm(latent, axis=1)
                 cosine = (latent @ items.latent.T) / np.maximum(norm, 1e-6)[:, None]
-                w, i = np.nonzero(cosine >= COSINE)
-                hits.append((window[begins[some[w]]], i, cosine[w, i]))
-            if hits:
-                wins, which, cosine = (np.concatenate(x) for x in zip(*hits, strict=True))
+                near = cosine >= COSINE
+                # their cosines too, whatever they are
+                lo_, hi_ = np.searchsorted(bound, [known[some[0]] * n_items, (known[some[-1]] + 1) * n_items])
+                mine = bound[lo_:hi_]
+                w = np.searchsorted(known[some], mine // n_items)
+                real = known[some][w] == mine // n_items
+                near[w[real], mine[real] % n_items] = True
+                w, i = np.nonzero(near)
+                hits.append((known[some[w]], i, cosine[w, i]))
+            wins, which, cosine = (np.concatenate(x) for x in zip(*hits, strict=True))
+            best: dict[tuple[int, object], tuple] = {}
+            if len(wins):
                 where = np.searchsorted(first_block, wins, "right") - 1
                 order = np.lexsort((wins, which, where))
                 points = None
-                best: dict[tuple[int, object], tuple] = {}
                 k = 0
                 while k < len(order):
                     j, c = order[k], cosine[order[k]]

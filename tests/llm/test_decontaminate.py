@@ -81,3 +81,33 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0, r.item_id) for r in D.find(d, b).collect()) == [(0, 1), (4, 1), (4, 1)]
     assert D.find(d.limit(0), b).count() == 0
     assert D.find(d, b.limit(0)).count() == 0
+
+
+def test_paraphrases_of_widely_copied_items(spark):
+    rng = random.Random(7)
+    items = [(i, [f"i{i}w{k}" for k in range(30)]) for i in range(6)]
+    filler = [f"f{k}" for k in range(3000)]
+    docs = []
+    for i, words in items:
+        docs += [" ".join(rng.choices(filler, k=20) + words) for _ in range(14)]  # so often that only an item's RAREST words are searched
+        docs += [" ".join(rng.choices(filler, k=20) + words[8:] + rng.choices(filler, k=20)) for _ in range(4)]  # the first eight are the rarest
+        for share in (0.1, 0.2, 0.3, 0.4, 0.5, 0.6) * 5:
+            # the rarest words change more often
+            changed = [rng.choice(filler) if rng.random() < (2 * share if k < 8 else share) else w for k, w in enumerate(words)]
+            docs.append(" ".join(rng.choices(filler, k=rng.randint(0, 20)) + changed + rng.choices(filler, k=rng.randint(0, 20))))
+    docs += [" ".join(rng.choices(filler, k=60)) for _ in range(40)]
+    blocks = [set(t.split()[a : a + D.BLOCK]) for t in docs for a in range(0, len(t.split()), D.BLOCK)]
+    truth, exhaustive = set(), {}
+    for i, words in items:
+        idf = np.array([np.log((len(blocks) + 1) / (sum(w in b for b in blocks) + 0.5)) for w in words])
+        for d, text in enumerate(docs):
+            t = text.split()
+            got = sum(v for w, v in zip(words, idf, strict=True) if w in t)  # words keep their order here, and none is repeated
+            exhaustive[d, i] = got / idf.sum()
+            if exhaustive[d, i] >= D.SHARE:
+                truth.add((d, i))
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(4)
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.share for r in D.find(d, b).collect()}
+    assert truth == got.keys() and len(truth) > 150
+    assert all(abs(v - exhaustive[k]) < 1e-4 for k, v in got.items())
