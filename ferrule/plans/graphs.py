@@ -100,7 +100,7 @@ def mahalanobis_nearest(spark, d):
 
 
 def kmeans(spark, d):
-    tagged, _ = cluster.kmeans(_points(spark, d).select("idx", "attrs"), K, rounds=5)
+    tagged, _ = cluster.kmeans(_points(spark, d).select("idx", "attrs"), K)
     return tagged.select("idx", "tag")
 
 

@@ -109,7 +109,7 @@ def sparsity(spark, d):
 def als_predict(spark, d):
     """Held-out ratings by a factor model of rank 1."""
     train, test = _split(spark, d)
-    model = hybrid.train_als(train, rounds=10)
+    model = hybrid.train_als(train)
     return hybrid.predict_factors(model, test).select("user", "item", "als")
 
 
@@ -117,7 +117,7 @@ def hybrid_predict(spark, d):
     """Augmented ratings and trained factors, blended, with fallbacks."""
     train, test = _split(spark, d)
     known = train.unionByName(_augmented(spark, d).join(train, ["user", "item"], "left_anti"))
-    factors = hybrid.predict_factors(hybrid.train_als(known, rounds=10), test)
+    factors = hybrid.predict_factors(hybrid.train_als(known), test)
     return hybrid.blend(test, known, factors, _averages(train), hybrid.UNKNOWN_AVERAGE)
 
 
