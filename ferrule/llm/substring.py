@@ -1,22 +1,30 @@
 """Substring dedup by unit hashing: units that occurred before are removed, in runs of enough words.
 
-Units are pieces of lines.  Whole lines, or sentences, miss passages that begin
-and end within them, so lines are also cut at places that their words choose:
-behind a word pair whose hash is less than those of the NEAR pairs on either
-side.  Such places are the same wherever a passage stands, at least NEAR + 1
-words apart, and 2 NEAR + 1 words on average.  A unit is compared by the 128-bit
-digest of its words, case of A-Z and spacing aside.
-
-1. Digests are grouped globally, pre-aggregated before the shuffle; each one's
-   first occurrence, in the order of (id, position), stays for good.
-2. Later occurrences that stand side by side in a document form a run.
-3. A passage need not begin with a unit.  The words before a run are compared
-   with those before the first occurrence of the run's first unit, and likewise
-   behind its end; words that agree extend the run.
-4. A run that has at least `min_words` words then is removed.
+Units are lines, and pieces of longer lines: whole lines alone miss passages that
+begin and end within them, so lines are also cut at places that their words
+choose, behind a word pair whose hash is less than those of the NEAR pairs on
+either side in its line.  Such places are the same wherever a line or passage
+stands.  A line of one word goes with the next one, and a unit of 2 * MOST words
+or more is cut every MOST words.  A unit is compared by the 128-bit digest of its
+words, case of A-Z and spacing aside.
+
+1. Rows are numbered and written once; ranks are by (id, row number, place).
+2. Digests are grouped globally, pre-aggregated before the shuffle, for each
+   one's first occurrence in rank.  Units side by side whose first occurrences
+   are side by side are one match with that place.
+3. Where they aren't, the pair is grouped by its own digest, and matches the
+   pair's first occurrence.
+4. A passage need not begin with a unit.  The words beside a match are compared
+   with those beside the place that it matches, across units, until they differ;
+   words that agree extend it.
+5. Matches of a document, those of the highest ranking places first, cover its
+   words, three side by side at a time; a match counts only where those before
+   it don't cover.  What is covered for at least `min_words` words on end goes.
+6. But what a match counts for is kept where it stands, in the other place.
 
 So a shorter repetition, such as a common sentence or a licence line, stays
-where it is, and nothing is removed that isn't left in an earlier place.
+where it is, and whatever is removed is left in another place: every three words
+side by side within a removed stretch stand side by side in some output.
 """
 
 from __future__ import annotations
@@ -35,37 +43,60 @@ _P1, _P2 = (int(x) | 3 for x in _RNG.integers(1, 2**62, 2))
 _PAIR = np.uint64(int(_RNG.integers(1, 2**62)) | 1)
 #: Word pairs on either side that a cut's hash is less than.
 NEAR = 3
-#: A run extends by at most so many words at either end; those of a neighbouring unit.
-SIDE = 400
+#: Words in the pieces of an overlong unit, so that every unit has less than twice as many.
+MOST = 64
+#: Words that are compared beside a run: more than any unit has.  Where more of them agree, whole units do, and are in a run themselves.
+SIDE = 2 * MOST
+#: Agreeing words beside a run that may lie beyond its neighbouring unit without that unit being the same: those that decide on a cut.
+SLACK = NEAR + 2
+#: Units between two runs of one source that are taken together, as where lines are wrapped anew.
+GAP = 12
+#: In place of an id that is null or no whole number: such rows rank last.
+LAST = (1 << 63) - 1
 
 
 class Units:
-    """The units of some rows: words[i] belongs to unit of_word[i]; unit j has words first[j] to last[j] - 1 and row row[j]."""
+    """The units of some rows: unit j has words first[j] to last[j] - 1 and row row[j]."""
 
     def __init__(self, raw: np.ndarray, at: np.ndarray, powers: W.Powers):
         self.hash, self.start, self.end, rows = W.words(raw, at, powers)
         n = len(self.start)
-        row_of_word = np.repeat(np.arange(len(at) - 1), np.diff(rows))
-        # a word begins a unit if it is its row's first, if a line ends before it, or if there is a cut behind the word before
         new = np.zeros(n, bool)
         if n:
             new[0] = True
+            row_of_word = np.repeat(np.arange(len(at) - 1), np.diff(rows))
             lines = np.r_[0, np.cumsum(raw == 10)]
-            new[1:] = (row_of_word[1:] != row_of_word[:-1]) | (lines[self.start[1:]] != lines[self.end[:-1]]) | self._cuts(row_of_word)[:-1]
+            other = row_of_word[1:] != row_of_word[:-1]
+            new[1:] = other | (lines[self.start[1:]] != lines[self.end[:-1]])
+            # a line of one word goes with the next line of its text
+            alone = new[:-1] & new[1:] & ~other
+            new[1:] &= ~alone
+            segment = np.cumsum(new)
+            cut = self._cuts(segment)
+            # none before a line's last word, so that no unit within a text is a single word
+            cut[:-2] &= segment[2:] == segment[:-2]
+            cut[-2:] = False
+            new[1:] |= cut[:-1]
+            first = np.flatnonzero(new)
+            pieces = np.diff(np.r_[first, n]) // MOST
+            long = np.flatnonzero(pieces > 1)
+            for j in long:
+                new[first[j] + MOST * np.arange(1, pieces[j])] = True
         self.first = np.flatnonzero(new)
         self.last = np.r_[self.first[1:], n].astype(np.int64) if n else self.first
         self.row = row_of_word[self.first] if n else self.first
         self.unit_at = np.searchsorted(self.row, np.arange(len(at)))
+        self.words_at = rows
         self.count = self.last - self.first
 
-    def _cuts(self, row: np.ndarray) -> np.ndarray:
+    def _cuts(self, segment: np.ndarray) -> np.ndarray:
         """Whether there is a cut behind each word."""
         most = np.uint64(2**64 - 1)
-        pair = np.full(len(row), most)
-        pair[1:] = np.where(row[1:] == row[:-1], W.mix(self.hash[:-1] * _PAIR + self.hash[1:]), most)
-        least = np.full(len(row), most)
+        pair = np.full(len(segment), most)
+        pair[1:] = np.where(segment[1:] == segment[:-1], W.mix(self.hash[:-1] * _PAIR + self.hash[1:]), most)
+        least = np.full(len(segment), most)
         for k in range(1, NEAR + 1):
-            same = row[k:] == row[:-k]
+            same = segment[k:] == segment[:-k]
             least[k:] = np.minimum(least[k:], np.where(same, pair[:-k], most))
             least[:-k] = np.minimum(least[:-k], np.where(same, pair[k:], most))
         return pair < least
@@ -82,151 +113,260 @@ class Units:
         return out
 
 
+def _slices(batches, column: int):
+    for whole in batches:
+        for a, b in W.slices(whole.column(column)):
+            yield whole.slice(a, b - a)
+
+
 def _units(docs: DataFrame) -> DataFrame:
-    """(id, u, h1, h2, w, lw, rw) of every unit: place in the document, digest, words, words of the units beside it."""
+    """(row, id, u, s, w, h1, h2, lw, rw) of every unit: place in the document, first word, words, digest, words of the units beside it."""
 
     def run(batches):
         powers = W.Powers()
-        for whole in batches:
-            for a, b in W.slices(whole.column(1)):
-                part = whole.slice(a, b - a)
-                units = Units(*W.text_bytes(part.column(1)), powers)
-                ids = part.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-                h1, h2 = units.digests()
-                place = np.arange(len(units.row)) - units.unit_at[units.row]
-                same = units.row[1:] == units.row[:-1]
-                left, right = np.zeros(len(place), np.int32), np.zeros(len(place), np.int32)
-                left[1:][same] = units.count[:-1][same]
-                right[:-1][same] = units.count[1:][same]
-                cols = [ids[units.row], place.astype(np.int32), h1, h2, units.count.astype(np.int32), np.minimum(left, SIDE), np.minimum(right, SIDE)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "u", "h1", "h2", "w", "lw", "rw"])
-
-    return docs.mapInArrow(run, "id bigint, u int, h1 bigint, h2 bigint, w int, lw int, rw int")
-
-
-def _runs(repeats: DataFrame, min_words: int) -> DataFrame:
-    """(id, a, b, w, and the first occurrences of its first and last unit) of every run that may become long enough."""
-    by = "struct(u, w, lw, rw, fid, fu)"
-    grouped = repeats.groupBy("id").agg(F.sort_array(F.collect_list(F.expr(by))).alias("us"))
+        for part in _slices(batches, 2):
+            units = Units(*W.text_bytes(part.column(2)), powers)
+            rows, ids = (part.column(i).to_numpy(zero_copy_only=False)[units.row] for i in (0, 1))
+            place = np.arange(len(units.row)) - units.unit_at[units.row]
+            same = units.row[1:] == units.row[:-1]
+            left, right = np.zeros(len(place), np.int32), np.zeros(len(place), np.int32)
+            left[1:][same] = units.count[:-1][same]
+            right[:-1][same] = units.count[1:][same]
+            cols = [rows, ids, place.astype(np.int32), (units.first - units.words_at[units.row]).astype(np.int32), units.count.astype(np.int32), *units.digests(), left, right]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "id", "u", "s", "w", "h1", "h2", "lw", "rw"])
+
+    return docs.mapInArrow(run, "row bigint, id bigint, u int, s int, w int, h1 bigint, h2 bigint, lw int, rw int")
+
+
+#: An occurrence of a unit that stands in several places: its first occurrence is (fid, frow, fu), from word fs on; d is its digest.
+_OCCURRENCE = ["u", "s", "w", "lw", "rw", "fid", "frow", "fu", "fs", "d"]
+
+
+class Occurrences:
+    """A document's units that stand in several places, its runs of those that aren't first, and which of the runs may become long enough."""
+
+    def __init__(self, row: int, us, min_words: int):
+        for name, x in zip(_OCCURRENCE, us.values.flatten(), strict=True):
+            setattr(self, name, x.to_numpy(zero_copy_only=False))
+        u = self.u
+        self.next = np.diff(u) == 1  # whether the one behind is the document's next unit
+        self.same = self.next & (self.frow[1:] == self.frow[:-1]) & (np.diff(self.fu) == 1)
+        at = np.flatnonzero((self.frow != row) | (self.fu != u))
+        begins = np.flatnonzero(np.r_[True, np.diff(u[at]) != 1]) if len(at) else at
+        first, last = at[begins], at[np.r_[begins[1:], len(at)].astype(np.int64) - 1] if len(at) else at
+        total = np.r_[0, np.cumsum(self.w)]
+        size = total[last + 1] - total[first]
+        lw, rw = self.lw[first], self.rw[last]
+        ok = size + np.where(lw > 0, lw + SLACK, 0) + np.where(rw > 0, rw + SLACK, 0) >= min_words
+        if len(first):
+            # runs that go on at the same source, a few units on
+            near = (u[first[1:]] - u[last[:-1]] <= GAP) & (self.frow[first[1:]] == self.frow[last[:-1]])
+            far = self.fu[first[1:]] - self.fu[last[:-1]]
+            chain = np.cumsum(np.r_[False, ~(near & (far > 0) & (far <= GAP))])
+            ok |= (np.bincount(chain) > 1)[chain] & (2 * np.bincount(chain, size)[chain] >= min_words)
+        self.first, self.last = first[ok], last[ok]
+        inside = np.zeros(len(u) + 1, np.int64)
+        inside[self.first] += 1
+        inside[self.last + 1] -= 1
+        self.inside = np.cumsum(inside)[:-1] > 0
+
+
+def _table(names: dict[str, pa.DataType], out: list[tuple]) -> pa.RecordBatch:
+    cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, names.values(), strict=True)], names=list(names))
+
+
+def _schema(names: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{n} {'int' if t == pa.int32() else 'boolean' if t == pa.bool_() else 'bigint'}" for n, t in names.items())
+
+
+_JOIN = {"p": pa.int64(), "id": pa.int64(), "row": pa.int64(), "u": pa.int32(), "s": pa.int32(), "e": pa.int32(), "wanted": pa.bool_()}
+#: Units a to b, words s to e - 1 of a document, are units sa to sb, from word ss on, of row srow, whose rank is sid.
+_MATCH = {"row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "s": pa.int32(), "e": pa.int32(), "sid": pa.int64(), "srow": pa.int64(), "sa": pa.int32(), "sb": pa.int32(), "ss": pa.int32()}
+
+
+def _joins(grouped: DataFrame, min_words: int) -> DataFrame:
+    """Units u and u + 1 whose first occurrences aren't side by side: the pair's digest p, its words, and whether a run that may be long enough has it."""
 
     def run(batches):
         for batch in batches:
             out = []
-            for i, us in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                u, w, lw, rw, fid, fu = (x.to_numpy(zero_copy_only=False) for x in us.values.flatten())
-                ends = np.flatnonzero(np.diff(u) != 1) + 1
-                first, last = np.r_[0, ends], np.r_[ends, len(u)] - 1
-                total = np.r_[0, np.cumsum(w)]
-                size = total[last + 1] - total[first]
-                ok = size + lw[first] + rw[last] >= min_words
-                f, e = first[ok], last[ok]
-                out += zip([i] * len(f), u[f].tolist(), u[e].tolist(), size[ok].tolist(), fid[f].tolist(), fu[f].tolist(), fid[e].tolist(), fu[e].tolist(), strict=True)
-            cols = list(zip(*out, strict=True)) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _RUN_TYPES, strict=True)], names=_RUN_NAMES)
+            for row, ident, us in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = Occurrences(row, us, min_words)
+                at = np.flatnonzero(x.next & ~x.same)
+                d = x.d.view(np.uint64)
+                p = W.mix(d[at] * _PAIR + d[at + 1]).view(np.int64)
+                out.append((p, np.full(len(at), ident), np.full(len(at), row), x.u[at], x.s[at], x.s[at + 1] + x.w[at + 1], x.inside[at] & x.inside[at + 1]))
+            yield _table(_JOIN, out)
+
+    return grouped.mapInArrow(run, _schema(_JOIN))
+
 
-    return grouped.mapInArrow(run, ", ".join(f"{n} {'int' if t == pa.int32() else 'bigint'}" for n, t in zip(_RUN_NAMES, _RUN_TYPES, strict=True)))
+def _matches(grouped: DataFrame, min_words: int) -> DataFrame:
+    """Of runs that may be long enough, the stretches whose first occurrences stand side by side."""
 
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row, us in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                x = Occurrences(row, us, min_words)
+                if not len(x.first):
+                    continue
+                at = np.flatnonzero(x.inside)
+                new = np.r_[True, (np.diff(at) != 1) | ~x.same[at[1:] - 1]]
+                begins = np.flatnonzero(new)
+                a, b = at[begins], at[np.r_[begins[1:], len(at)] - 1]
+                out.append((np.full(len(a), row), x.u[a], x.u[b], x.s[a], x.s[b] + x.w[b], x.fid[a], x.frow[a], x.fu[a], x.fu[b], x.fs[a]))
+            yield _table(_MATCH, out)
 
-_RUN_NAMES = ["id", "a", "b", "w", "lid", "lu", "rid", "ru"]
-_RUN_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+    return grouped.mapInArrow(run, _schema(_MATCH))
 
 
 def _beside(requests: DataFrame) -> DataFrame:
-    """Of documents with requests (array of (u, side)): the word hashes beside unit u, nearest first; side -1 before, 1 behind."""
+    """Of rows with requests (array of (u, side)): 32 bits of the word hashes beside unit u, nearest first; side -1 before, 1 behind."""
 
     def run(batches):
         powers = W.Powers()
-        for whole in batches:
-            for a, b in W.slices(whole.column(1)):
-                part = whole.slice(a, b - a)
-                units = Units(*W.text_bytes(part.column(1)), powers)
-                out = []
-                for r, (i, asked) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                    for x in asked:
-                        j = units.unit_at[r] + x["u"] + x["side"]
-                        inside = units.unit_at[r] <= j < units.unit_at[r + 1]
-                        got = units.hash[units.first[j] : units.last[j]] if inside else units.hash[:0]
-                        got = got[::-1][:SIDE] if x["side"] < 0 else got[:SIDE]
-                        out.append((i, x["u"], x["side"], got.view(np.int64) if got.flags.c_contiguous else np.ascontiguousarray(got).view(np.int64)))
-                cols = list(zip(*out, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], names=["kid", "ku", "side", "near"])
-
-    return requests.mapInArrow(run, "kid bigint, ku int, side int, near array<bigint>")
-
-
-def _agree(mine: np.ndarray, near: list[int]) -> int:
-    """How many of the nearest words agree."""
-    theirs = np.array(near, np.int64).view(np.uint64) if near else mine[:0]
-    m = min(len(mine), len(theirs))
-    differ = np.flatnonzero(mine[:m] != theirs[:m])
-    return int(differ[0]) if len(differ) else m
-
-
-def edges(units: Units, r: int, runs: list[dict], min_words: int) -> list[tuple[int, int | None]]:
-    """Begin and end, in bytes, of what goes from row r: its runs with the words that agree beside them.
-
-    A stretch ends where the next kept word begins, so that the white space before it stays; None: where the text ends.
-    """
-    base, top = int(units.unit_at[r]), int(units.unit_at[r + 1])
-    spans: list[list[int]] = []  # in words
-    for x in sorted(runs, key=lambda x: x["a"]):
-        j, k = base + x["a"], base + x["b"]
-        before = units.hash[units.first[j - 1] : units.last[j - 1]][::-1][:SIDE] if j > base else units.hash[:0]
-        behind = units.hash[units.first[k + 1] : units.last[k + 1]][:SIDE] if k + 1 < top else units.hash[:0]
-        left, right = _agree(before, x["left"]), _agree(behind, x["right"])
-        if left + x["w"] + right >= min_words:
-            s, e = int(units.first[j]) - left, int(units.last[k]) + right
-            if spans and s <= spans[-1][1]:
-                spans[-1][1] = max(e, spans[-1][1])
-            else:
-                spans.append([s, e])
-    return [(int(units.start[s]), int(units.start[e]) if e < units.last[top - 1] else None) for s, e in spans]
+        for part in _slices(batches, 1):
+            units = Units(*W.text_bytes(part.column(1)), powers)
+            short = (units.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            out: list[tuple] = []
+            for r, (row, asked) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                lo, hi = units.words_at[r], units.words_at[r + 1]
+                for x in asked:
+                    j = units.unit_at[r] + x["u"]
+                    if x["side"] < 0:
+                        got = short[max(lo, units.first[j] - SIDE) : units.first[j]][::-1]
+                    else:
+                        got = short[units.last[j] : min(hi, units.last[j] + SIDE)]
+                    out.append((row, x["u"], x["side"], got))
+            row, u, side, got = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
+            at = np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int32), *got])
+            near = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(u, pa.int32()), pa.array(side, pa.int32()), near], names=["row", "u", "side", "near"])
+
+    return requests.mapInArrow(run, "row bigint, u int, side int, near array<int>")
+
+
+def cover(matches: list[tuple], min_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
+    """Stretches of words that go, and the stretches (row, begin, end) that are left in their stead.
+
+    A match is (rank, srow, ss, s, e): words s to e - 1 stand in row srow as well, from its word ss on."""
+    lo, hi = min(m[3] for m in matches), max(m[4] for m in matches)
+    covered = np.zeros(hi - lo + 2, bool)  # whether three words from here on are
+    used = []
+    for _, srow, ss, s, e in sorted(matches):
+        part = covered[s - lo : e - lo - 2]
+        turns = np.flatnonzero(np.diff(np.r_[False, ~part, False]))
+        used += [(s + x, s + y + 2, srow, ss + x) for x, y in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)]
+        part[:] = True
+    turns = np.flatnonzero(np.diff(np.r_[False, covered, False])) + lo
+    spans, left, end = [], [], -1
+    for s, e in zip(turns[::2].tolist(), (turns[1::2] + 2).tolist(), strict=True):
+        # a word is left between stretches that hardly overlap: what spans both is nowhere else
+        s = s if s > end else end + 1
+        if e - s >= min_words:
+            spans.append((s, e))
+            left += [(srow, ss, ss + y - x) for x, y, srow, ss in used if s < y and x < e]
+            end = e
+    return spans, left
+
+
+def _covers(grouped: DataFrame, min_words: int) -> DataFrame:
+    """(row, spans, left) of rows with matches; see cover()."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row, ms in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                cols = [x.to_pylist() for x in ms.values.flatten()]
+                spans, left = cover([((i, r, u), r, u, s, e) for i, r, u, s, e in zip(*cols, strict=True)], min_words)
+                if spans:
+                    out.append((row, [{"s": s, "e": e} for s, e in spans], [{"row": r, "s": s, "e": e} for r, s, e in left]))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            span = pa.struct([("s", pa.int32()), ("e", pa.int32())])
+            place = pa.struct([("row", pa.int64()), ("s", pa.int32()), ("e", pa.int32())])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(span)), pa.array(cols[2], pa.list_(place))], names=["row", "spans", "left"])
+
+    return grouped.mapInArrow(run, "row bigint, spans array<struct<s int, e int>>, left array<struct<row bigint, s int, e int>>")
+
+
+def edges(start: np.ndarray, spans: list[dict], left: list[dict]) -> list[tuple[int, int | None]]:
+    """Begin and end, in bytes, of what goes from a text whose words begin at `start`: stretches of words, but for those that are left.
+
+    A stretch ends where the next kept word begins, so that the white space before it stays; None: where the text ends."""
+    gone = np.zeros(len(start), bool)
+    for x in spans:
+        gone[x["s"] : x["e"]] = True
+    for x in left:
+        gone[x["s"] : x["e"]] = False
+    turns = np.flatnonzero(np.diff(np.r_[False, gone, False])).tolist()
+    return [(int(start[s]), int(start[e]) if e < len(start) else None) for s, e in zip(turns[::2], turns[1::2], strict=True)]
 
 
 def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, scratch: list[str] | None = None) -> DataFrame:
     """`docs` with text_col cut, and `removed`: array<struct<start bigint, end bigint>>, the spans
     that were cut, in code points of the original text (end exclusive).
 
-    A run's stretch goes from its first word to the first word behind it, or to
-    the end of the text.  A null text stays null, an empty one empty; rows with a
-    null id stay as they are, and so does a table of no rows.  Rows that repeat an
-    id are ordered by it alone, and what is found for one holds for all of them,
-    so ids should be unique.  All other columns are kept; an input column named
-    `removed` is replaced.
+    A stretch goes from its first word to the first word behind it, or to the end
+    of the text.  One row comes back for each row.  A null text stays null, an
+    empty one empty, and a table without rows empty.  Rows rank by id, rows of
+    one id in the order of the table; rows whose id is null, or no whole number,
+    rank behind all others.  A row that repeats another is held against it like
+    any other, so its text goes if it is long enough.  All other columns are kept;
+    an input column named `removed` is replaced.  min_words is 3 at least.
     """
     scratch = [] if scratch is None else scratch
-    docs = docs.drop("removed")
-    narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    units = _units(narrow.where("id is not null"))
-    firsts = units.groupBy("h1", "h2").agg(F.min(F.struct("id", "u")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", F.col("f.id").alias("fid"), F.col("f.u").alias("fu"))
-    firsts = materialise(firsts, keep=scratch)  # so that the join below has an exchange of its own on either side, and a frequent unit's can be split
-    repeats = units.join(firsts, ["h1", "h2"]).where("id <> fid or u <> fu").select("id", "u", "w", "lw", "rw", "fid", "fu")
-    runs = materialise(_runs(repeats, min_words), keep=scratch)
-    keepers = runs.select(F.col("lid").alias("id"), F.struct(F.col("lu").alias("u"), F.lit(-1).alias("side")).alias("ask")).union(runs.select("rid", F.struct(F.col("ru").alias("u"), F.lit(1).alias("side")))).distinct()
-    keepers = keepers.groupBy("id").agg(F.collect_list("ask").alias("asked"))
-    near = materialise(_beside(narrow.join(keepers, "id").select("id", "text", "asked")), keep=scratch)
-    left = near.where("side = -1").select(F.col("kid").alias("lid"), F.col("ku").alias("lu"), F.col("near").alias("left"))
-    right = near.where("side = 1").select(F.col("kid").alias("rid"), F.col("ku").alias("ru"), F.col("near").alias("right"))
-    full = runs.join(left, ["lid", "lu"], "left").join(right, ["rid", "ru"], "left")
-    per_doc = full.groupBy("id").agg(F.collect_list(F.struct("a", "b", "w", "left", "right")).alias("__runs"))
-
-    names = docs.columns
-    whole = docs.withColumn("__key", F.col(id_col).cast("bigint")).join(per_doc.withColumnRenamed("id", "__key"), "__key", "left").drop("__key")
+    row = "__row"
+    numbered = materialise(docs.drop("removed").withColumn(row, F.monotonically_increasing_id()), keep=scratch)
+    narrow = numbered.select(F.col(row).alias("row"), F.coalesce(F.col(id_col).try_cast("bigint"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    units = _units(narrow)
+    firsts = units.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "u", "s")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join below has an exchange of its own on either side, and a frequent unit's can be split
+    firsts = materialise(firsts.select("h1", "h2", F.col("f.id").alias("fid"), F.col("f.row").alias("frow"), F.col("f.u").alias("fu"), F.col("f.s").alias("fs")), keep=scratch)
+    again = units.join(firsts, ["h1", "h2"]).withColumn("d", F.xxhash64("h1", "h2"))
+    grouped = materialise(again.groupBy("row", "id").agg(F.sort_array(F.collect_list(F.struct(*_OCCURRENCE))).alias("us")), keep=scratch)
+
+    joins = materialise(_joins(grouped, min_words), keep=scratch)
+    pairs = joins.groupBy("p").agg(F.min(F.struct("id", "row", "u", "s")).alias("f"), F.max("wanted").alias("wanted"), F.count("*").alias("n")).where("wanted and n > 1").select("p", "f")
+    of_pairs = joins.where("wanted").join(pairs, "p").where("row <> f.row or u <> f.u")
+    of_pairs = of_pairs.selectExpr("row", "u as a", "u + 1 as b", "s", "e", "f.id as sid", "f.row as srow", "f.u as sa", "f.u + 1 as sb", "f.s as ss")
+    matches = materialise(_matches(grouped, min_words).unionByName(of_pairs), keep=scratch)
+
+    # either side of a match: the unit that the words stand beside, here and there
+    side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(u).alias("u"), F.col(v).alias("su")) for s, u, v in ((-1, "a", "sa"), (1, "b", "sb"))]))
+    sides = matches.select("row", "srow", side.alias("x")).select("row", "srow", "x.*").distinct()
+    asked = sides.select("row", "u", "side").union(sides.select("srow", "su", "side")).distinct().groupBy("row").agg(F.collect_list(F.struct("u", "side")).alias("asked"))
+    near = materialise(_beside(narrow.select("row", "text").join(asked, "row").select("row", "text", "asked")), keep=scratch)
+    theirs = near.select(F.col("row").alias("srow"), F.col("u").alias("su"), "side", F.col("near").alias("theirs"))
+    differ = F.array_position(F.zip_with("near", "theirs", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
+    agreed = sides.join(theirs, ["srow", "su", "side"]).join(near, ["row", "u", "side"])
+    agreed = materialise(agreed.select("row", "u", "srow", "su", "side", F.when(differ > 0, differ - 1).otherwise(F.size("near")).cast("int").alias("n")), keep=scratch)
+    of_side = {s: agreed.where(F.col("side") == s).select("row", F.col("u").alias(u), "srow", F.col("su").alias(v), F.col("n").alias(n)) for s, u, v, n in ((-1, "a", "sa", "l"), (1, "b", "sb", "r"))}
+    full = matches.join(of_side[-1], ["row", "a", "srow", "sa"]).join(of_side[1], ["row", "b", "srow", "sb"])
+    full = full.selectExpr("row", "struct(sid, srow, ss - l as ss, s - l as s, e + r as e) as m")
+    covers = materialise(_covers(full.groupBy("row").agg(F.collect_list("m").alias("ms")), min_words), keep=scratch)
+    left = covers.select(F.explode("left").alias("x")).select("x.*").groupBy("row", "s").agg(F.max("e").alias("e"))
+    left = left.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("left"))
+    per_row = covers.select("row", "spans").join(left, "row", "left").select(F.col("row").alias(row), F.struct("spans", "left").alias("__cut"))
+
+    names = [c for c in numbered.columns if c != row]
+    whole = numbered.join(per_row, row, "left").select(*names, "__cut")
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema.fields] + [T.StructField("removed", T.ArrayType(span))])
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in numbered.schema.fields if f.name != row), T.StructField("removed", T.ArrayType(span))])
     at_text = names.index(text_col)
 
     def run(batches):
         powers = W.Powers()
         for batch in batches:
-            runs_of = batch.column(len(names))
+            cuts = batch.column(len(names))
             texts = batch.column(at_text).to_pylist()
             removed: list = [[] for _ in texts]
-            touched = [r for r in range(len(texts)) if runs_of[r].is_valid and texts[r]]
-            for r in touched:
+            for r in np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 raw, at = W.text_bytes(pa.array([texts[r]], pa.large_string()))
-                units = Units(raw, at, powers)
-                found = edges(units, 0, runs_of[r].as_py(), min_words)
+                cut = cuts[r].as_py()
+                found = edges(W.words(raw, at, powers)[1], cut["spans"], cut["left"] or [])
                 if found:
                     texts[r], removed[r] = _without(raw, found)
             cols = [batch.column(i) for i in range(len(names))]
