@@ -1,11 +1,15 @@
 """Main text of web pages, with the template of each site removed.
 
-A page is read as a tree, tolerantly.  Parts that say what they are, by tag,
-role, class or id (menus, adverts, comments ...), are left out.  Of what
-remains, every element's subtree is hashed, hashes are counted per host in
-Spark, over pages, and subtrees that stand on many of a host's pages are left
-out as well: they are the site's, not the page's.  Blocks of what then remains
-are the text.
+1. A page is read as a tree, tolerantly, in time linear in its length.
+2. Every block element's subtree is hashed, menus and footers as well.  Hashes
+   are counted per host in Spark, over pages of different content, and subtrees
+   that stand on many of a host's pages are the site's, not the page's: they are
+   deleted.  In an article, one block of text alone is never deleted for that; nor
+   is a text that would be gone as a whole.
+3. Of what remains, parts that say by tag, role, class or id that they are no
+   article (menus, adverts, comments ...) are left out, as hosts of few pages,
+   and parts that differ from page to page, give counts no hold.
+4. Blocks of what then remains are the text.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 from ferrule.llm.common import materialise
 
 #: A subtree is a site's template if it stands on so many of a host's pages, and on such a share of them.
-MANY, SHARE = 10, 0.5
+MANY, SHARE = 10, 0.05
 #: Templates up to which their keys (8 bytes each) go to every executor; beyond it, pages are joined with them.
 BROADCAST = 1_000_000
 
@@ -31,7 +35,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li listing main menu nav ol p plaintext pre search section summary table caption tbody td tfoot th thead title tr ul option select optgroup".split())
 _NEVER = frozenset("aside audio button canvas datalist dialog embed footer form frame frameset head iframe input label map math menu nav noembed noframes noscript object optgroup option script search select style svg template textarea title video".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_WHOLE = frozenset("html body main article".split())
 #: An opening element closes an open one of these, unless one of the second set stands between.
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -93,23 +97,26 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-class _Element:
-    __slots__ = ("tag", "dropped", "parts", "number")
-
-    def __init__(self, tag, dropped, number):
-        self.tag, self.dropped, self.parts, self.number = tag, dropped, [], number
-
-
 class Page:
-    """The blocks of a page: (text, tag, place, elements around it, share of links), and the hash of each element's subtree."""
+    """The elements of a page, with the hash of each one's subtree, and its blocks of text.
+
+    A block is (pieces, tag, place, element); a piece is (element, whether in a link, text)."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, str, int, tuple[int, ...], bool]] = []
+        self.tags: list[str] = []
+        self.parents: list[int] = []
+        self.unwanted: list[bool] = []
+        self.places: list[int] = []  # 1: in an article, 2: in main
         self.hashes: list[int] = []
-        self.stack: list[_Element] = []
-        self.buffer: list[str] = []
-        self.linked = self.total = 0
-        at, raw = 0, None
+        self.blocks: list[tuple[list[tuple[int, bool, str]], str, int, int]] = []
+        # open elements, what is hashed of each, and where in the stack elements of each tag, blocks, and paragraphs or their walls are
+        self.stack: list[int] = []
+        self.parts: list[list[str]] = []
+        self.at: dict[str, list[int]] = {}
+        self.block_at: list[int] = []
+        self.scope_at: list[int] = []
+        self.buffer: list[tuple[int, bool, str]] = []
+        at = 0
         for m in _TOKEN.finditer(source):
             if m.start() < at:
                 continue  # inside a raw element
@@ -130,105 +137,120 @@ class Page:
                 self._close(tag)
         if at < len(source):
             self._text(source[at:])
-        while self.stack:
-            self._pop()
+        self._pop(0)
         self._flush("")
+        held = [0] * len(self.tags)
+        for _, _, _, e in self.blocks:
+            if e >= 0:
+                held[e] += 1
+        for e in range(len(held) - 1, -1, -1):
+            if self.parents[e] >= 0:
+                held[self.parents[e]] += held[e]
+        #: Elements that templates may be: blocks with text, but in an article those that hold one block alone.
+        self.parted = [e for e, h in enumerate(self.hashes) if h and self.tags[e] in _BLOCK and self.tags[e] not in _WHOLE and (held[e] > 1 or not self.places[e])]
 
     def _text(self, text: str) -> None:
-        if self.stack and self.stack[-1].dropped:
-            return
         if "&" in text:
             text = html.unescape(text)
-        self.buffer.append(text)
-        n = len(text.strip())
-        self.total += n
-        if n:
-            if any(e.tag == "a" for e in self.stack):
-                self.linked += n
-            if self.stack:
-                self.stack[-1].parts.append(" ".join(text.split()))
+        self.buffer.append((self.stack[-1] if self.stack else -1, bool(self.at.get("a")), text))
+        if self.stack and not text.isspace():
+            self.parts[-1].append(" ".join(text.split()))
+
+    def _place(self) -> int:
+        return bool(self.at.get("article")) | bool(self.at.get("main")) << 1
 
     def _flush(self, tag: str) -> None:
         if self.buffer:
-            text = " ".join("".join(self.buffer).split())
-            if text:
-                place = 0
-                for e in self.stack:
-                    place |= (e.tag == "article") | (e.tag == "main") << 1
-                around = tuple(e.number for e in self.stack if e.tag not in ("html", "body", "main", "article"))
-                inner = next((e.tag for e in reversed(self.stack) if e.tag in _BLOCK), tag)
-                self.blocks.append((text, inner, place, around, self.linked >= 0.8 * self.total))
+            if any(not t.isspace() for _, _, t in self.buffer):
+                inner = self.tags[self.stack[self.block_at[-1]]] if self.block_at else tag
+                self.blocks.append((self.buffer, inner, self._place(), self.stack[-1] if self.stack else -1))
             self.buffer = []
-        self.linked = self.total = 0
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag == "br":
-            self.buffer.append(" ")
+            self.buffer.append((self.stack[-1] if self.stack else -1, False, " "))
             return
         if tag in _BLOCK:
             self._flush(tag)
-            self._close_p()
+            # a block closes the paragraph around it
+            if self.scope_at and self.tags[self.stack[self.scope_at[-1]]] == "p":
+                self._pop(self.scope_at[-1])
         if tag in _CLOSES:
             wanted, walls = _CLOSES[tag]
-            for i in range(len(self.stack) - 1, -1, -1):
-                if self.stack[i].tag in walls:
+            while True:
+                i = max((self.at[t][-1] for t in wanted if self.at.get(t)), default=-1)
+                if i < 0 or i < max((self.at[t][-1] for t in walls if self.at.get(t)), default=-1):
+                    break
+                self._pop(i)
+                if tag != "tr":
                     break
-                if self.stack[i].tag in wanted:
-                    while len(self.stack) > i:
-                        self._pop()
-                    if tag != "tr":
-                        break
         if tag in _VOID:
             return
-        parent = self.stack[-1] if self.stack else None
-        inside = any(e.tag in ("article", "main") for e in self.stack)
-        dropped = bool(parent and parent.dropped) or _unwanted(tag, attributes, inside)
-        self.stack.append(_Element(tag, dropped, len(self.hashes)))
+        place, i = self._place(), len(self.stack)
+        self.parents.append(self.stack[-1] if self.stack else -1)
+        self.stack.append(len(self.tags))
+        self.parts.append([])
+        self.tags.append(tag)
+        self.places.append(place)
+        self.unwanted.append(_unwanted(tag, attributes, place > 0))
         self.hashes.append(0)
-
-    def _close_p(self) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[i].tag
-            if t in _P_SCOPE:
-                return
-            if t == "p":
-                while len(self.stack) > i:
-                    self._pop()
-                return
+        self.at.setdefault(tag, []).append(i)
+        if tag in _BLOCK:
+            self.block_at.append(i)
+        if tag == "p" or tag in _P_SCOPE:
+            self.scope_at.append(i)
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i].tag == tag:
-                while len(self.stack) > i:
-                    self._pop()
-                return
-            if tag not in _BLOCK and self.stack[i].tag in _BLOCK:
-                return  # an inline end tag doesn't close blocks
-
-    def _pop(self) -> None:
-        e = self.stack[-1]
-        if e.tag in _BLOCK:
-            self._flush(e.tag)
-        self.stack.pop()
-        if e.parts and not e.dropped:
-            key = xxhash.xxh3_64_intdigest("\x1f".join([e.tag, *e.parts]))
-            self.hashes[e.number] = key
-            if self.stack:
-                self.stack[-1].parts.append(f"\x1e{key:x}")
-
-    def main(self) -> list[tuple[str, tuple[int, ...]]]:
-        """The blocks of the article: inside article elements, if there are any, else inside main, else all that aren't menus."""
-        for bit in (1, 2):
-            got = [b for b in self.blocks if b[2] & bit]
-            if got:
-                if bit == 1 and not any(b[1] == "h1" for b in got):
-                    got = [b for b in self.blocks if b[2] & 1 or (b[2] & 2 and b[1] == "h1")]
-                return [(b[0], b[3]) for b in got]
-        return [(b[0], b[3]) for b in self.blocks if not (b[4] and b[1] in ("li", "ul", "ol", "td", "div", "span"))]
-
-
-def _keys(host: str, page: Page, around: tuple[int, ...]) -> list[int]:
-    return [_key(host, page.hashes[i]) for i in around if page.hashes[i]]
+        if not self.at.get(tag):
+            return
+        i = self.at[tag][-1]
+        if tag not in _BLOCK and self.block_at and self.block_at[-1] > i:
+            return  # an inline end tag doesn't close blocks
+        self._pop(i)
+
+    def _pop(self, size: int) -> None:
+        """Close the innermost elements until `size` are open."""
+        while len(self.stack) > size:
+            tag = self.tags[self.stack[-1]]
+            if tag in _BLOCK:
+                self._flush(tag)
+            e, parts, i = self.stack.pop(), self.parts.pop(), len(self.stack)
+            self.at[tag].pop()
+            for places in (self.block_at, self.scope_at):
+                if places and places[-1] == i:
+                    places.pop()
+            if parts:
+                key = self.hashes[e] = xxhash.xxh3_64_intdigest("\x1f".join([tag, *parts]))
+                if self.stack:
+                    self.parts[-1].append(f"\x1e{key:x}")
+
+    def digest(self) -> int:
+        """A hash of all that the page holds."""
+        return xxhash.xxh3_64_intdigest("\x1f".join(f"{h:x}" for e, h in enumerate(self.hashes) if self.parents[e] < 0)) >> 1
+
+    def main(self, templates=()) -> list[str]:
+        """The blocks of the article, without elements of which `templates` has the hashes: inside article elements,
+        if there are any, else inside main, else all that aren't menus."""
+        gone, ours = list(self.unwanted), [False] * len(self.tags)
+        for e in self.parted:
+            ours[e] = self.hashes[e] in templates
+        for e, parent in enumerate(self.parents):
+            if parent >= 0:
+                gone[e] |= gone[parent]
+                ours[e] |= ours[parent]
+        blocks = []
+        for pieces, tag, place, _ in self.blocks:
+            kept = [p for p in pieces if p[0] < 0 or not gone[p[0]]]
+            text = " ".join("".join(t for _, _, t in kept).split())
+            if text:
+                linked, total = (sum(len(t.strip()) for _, a, t in kept if a or every) for every in (False, True))
+                left = text if not any(ours[p[0]] for p in kept if p[0] >= 0) else " ".join("".join(p[2] for p in kept if p[0] < 0 or not ours[p[0]]).split())
+                blocks.append((text, tag, place, linked >= 0.8 * total, left))
+        got = [b for b in blocks if b[2] & 1]
+        if got and not any(b[1] == "h1" for b in got):
+            got = [b for b in blocks if b[2] & 1 or (b[2] & 2 and b[1] == "h1")]
+        got = got or [b for b in blocks if b[2] & 2] or [b for b in blocks if not (b[3] and b[1] in ("li", "ul", "ol", "td", "div", "span"))]
+        return [b[4] for b in got if b[4]] or [b[0] for b in got]
 
 
 def _key(host: str, subtree: int) -> int:
@@ -237,21 +259,31 @@ def _key(host: str, subtree: int) -> int:
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """(host, key) of each page's distinct subtrees in its main blocks; key 0 for the page itself."""
+    """(host, key, page) of each page's distinct subtrees; key 0 for the page itself; host and page are hashes."""
 
     def run(batches):
         for batch in batches:
-            hosts, keys = [], []
+            hosts, keys, digests = [], [], []
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 host, page = host_of(url), Page(source or "")
-                mine = {0}
-                for _, around in page.main():
-                    mine.update(_keys(host, page, around))
-                hosts += [host] * len(mine)
+                mine = {0} | {_key(host, page.hashes[e]) for e in page.parted}
+                hosts += [_key(host, 0)] * len(mine)
                 keys += mine
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64())], names=["host", "key"])
+                digests += [page.digest()] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (hosts, keys, digests)], names=["host", "key", "page"])
 
-    return pages.mapInArrow(run, "host string, key bigint")
+    return pages.mapInArrow(run, "host bigint, key bigint, page bigint")
+
+
+def templates(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", scratch: list[str] | None = None) -> DataFrame:
+    """(host, key) of the subtrees that stand on at least MANY of a host's pages, and on SHARE of them.
+
+    Pages of the same content count as one page, whatever their URLs."""
+    rows = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    counts = _subtrees(rows).distinct().groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
+    counts = materialise(counts, keep=scratch)
+    totals = counts.where("key = 0").select("host", F.col("n").alias("pages"))
+    return counts.where("key <> 0").join(totals, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "key")
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", scratch: list[str] | None = None) -> DataFrame:
@@ -265,19 +297,15 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     spark = pages.sparkSession
     scratch = [] if scratch is None else scratch
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    counts = _subtrees(rows.select("url", "html")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= MANY)
-    counts = materialise(counts, keep=scratch)
-    totals = counts.where("key = 0").select("host", F.col("n").alias("pages"))
-    templates = counts.where("key <> 0").join(totals, "host").where(F.col("n") >= SHARE * F.col("pages")).select("host", "key")
-    templates = materialise(templates, keep=scratch)
+    found = materialise(templates(pages, url_col=url_col, html_col=html_col, scratch=scratch), keep=scratch)
     id_type = pages.schema[id_col].dataType.simpleString()
-    if templates.limit(BROADCAST + 1).count() <= BROADCAST:
-        known = spark.sparkContext.broadcast(np.unique(np.array([r.key for r in templates.select("key").toLocalIterator()], np.int64)))
+    if found.limit(BROADCAST + 1).count() <= BROADCAST:
+        known = spark.sparkContext.broadcast(np.unique(np.array([r.key for r in found.select("key").toLocalIterator()], np.int64)))
         work = rows
     else:
         known = None
-        per_host = templates.groupBy("host").agg(F.collect_set("key").alias("keys"))
-        work = rows.withColumn("host", host_column(F.col("url"))).join(per_host, "host", "left").select("id", "url", "html", "keys")
+        per_host = found.groupBy("host").agg(F.collect_set("key").alias("keys"))
+        work = _with_host(rows).join(per_host, "host", "left").select("id", "url", "html", "keys")
 
     def run(batches):
         everywhere = set(known.value.tolist()) if known else set()
@@ -287,13 +315,21 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             for url, source, keys in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), own, strict=True):
                 host, page = host_of(url), Page(source or "")
                 template = everywhere if keys is None else set(keys)
-                texts.append("\n".join(t for t, around in page.main() if not template or template.isdisjoint(_keys(host, page, around))))
+                there = {page.hashes[e] for e in page.parted if _key(host, page.hashes[e]) in template} if template else ()
+                texts.append("\n".join(page.main(there)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
     out = work.mapInArrow(run, f"id {id_type}, url string, text string, n_chars bigint")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)
 
 
-def host_column(url) -> F.Column:
-    """host_of() as a column."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _HOST.pattern, 1))
+def _with_host(rows: DataFrame) -> DataFrame:
+    """`rows` (id, url, html) with `host`, the hash that _subtrees() gives to the URL's host."""
+
+    def run(batches):
+        for batch in batches:
+            hosts = [_key(host_of(u), 0) for u in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hosts, pa.int64())], names=[*batch.schema.names, "host"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, schema + ", host bigint")
