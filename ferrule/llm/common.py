@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,30 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the shared folder that the session names.
+    """A new folder name in the shared folder that the session names; the driver deletes it when it ends.
 
-    Where the session names none (local runs and tests), a folder under /tmp is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ferrule-checkpoints"
-    return f"{root.rstrip('/')}/ferrule/{uuid.uuid4().hex}"
+    Where the session names none, as in tests, a folder under /tmp is used, but on a local master alone."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "/tmp/ferrule-checkpoints"
+    mine = f"{root.rstrip('/')}/ferrule/{spark.sparkContext.applicationId}"
+    if mine not in _mine:
+        _mine.add(mine)
+        atexit.register(_leave, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), mine)
+    return f"{mine}/{uuid.uuid4().hex}"
+
+
+_mine: set[str] = set()
+
+
+def _leave(jvm, conf, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    except Exception:  # the engine has gone already
+        pass
 
 
 def materialise(df: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
@@ -45,6 +64,26 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
+#: Heaviest keys that split_join() broadcasts.
+HUBS = 4096
+
+
+def split_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """`rows` joined with `keyed`, which has one row for each key and in `weight` how many of `rows` have it.
+
+    Rows of the HUBS heaviest keys meet a broadcast of that many rows and stay where they are; so none of the
+    keys that are shuffled has more than a share of 1 / HUBS of the rows."""
+    hubs = F.broadcast(keyed.orderBy(F.desc(weight), *on).limit(HUBS))
+    rest = rows.join(hubs.select(*on), on, "left_anti").join(keyed, on)
+    return rows.join(hubs, on).unionByName(rest)
+
+
+def with_size(placed: DataFrame, place: list[str], **totals) -> DataFrame:
+    """`placed` with __n, how many rows its place has, and sums of columns; places of a single row are left out."""
+    sizes = placed.groupBy(*place).agg(F.count("*").alias("__n"), *[F.sum(c).alias(n) for n, c in totals.items()]).where("__n > 1")
+    return split_join(placed, sizes, place, "__n")
+
+
 def block_pairs(placed: DataFrame, place: list[str], who: str, block: int, weight: str | None = None, heaviest: int = 1) -> DataFrame:
     """Deal what meets at one place out to pairs of blocks.
 
@@ -56,10 +95,9 @@ def block_pairs(placed: DataFrame, place: list[str], who: str, block: int, weigh
     (rows of one block in the pair of that block with itself).  Places of a single
     row are left out.
     """
-    total = F.sum(weight) if weight else F.lit(0)
-    sizes = placed.groupBy(*place).agg(F.count("*").alias("__n"), total.alias("__w")).where("__n > 1")
+    dealt = with_size(placed, place, __w=weight or F.lit(0))
     n = F.greatest(F.ceil(F.col("__n") / block), F.least(F.ceil(F.col("__w") / heaviest), F.col("__n"))).cast("int")
-    dealt = placed.join(sizes, place).withColumns({"__b": n, "mine": F.pmod(F.xxhash64(who), n).cast("int")})
+    dealt = dealt.withColumns({"__b": n, "mine": F.pmod(F.xxhash64(who), n).cast("int")})
     dealt = dealt.withColumn("__o", F.explode(F.sequence(F.lit(0), F.col("__b") - 1)))
     return dealt.withColumns({"p": F.least("mine", "__o"), "q": F.greatest("mine", "__o")}).drop("__n", "__w", "__b", "__o")
 

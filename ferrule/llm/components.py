@@ -6,7 +6,8 @@ smaller neighbours and itself to the smallest.  Both keep what is connected
 connected and need no more links than there are nodes; when nothing changes,
 every link points at the smallest id of its component (Kiveris et al. 2014,
 "Connected components in MapReduce and beyond").  Nothing is sent to the driver
-but two numbers a round, and each round ends in a written table.
+but two numbers a round, and each round ends in a written table.  A node with very
+many links isn't one task's; see split_join().
 """
 
 from __future__ import annotations
@@ -14,21 +15,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import drop, materialise
+from ferrule.llm.common import drop, materialise, split_join
 
 MOST_ROUNDS = 60
 
 
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    return split_join(both, low, ["u"], "n").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
-    kept = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    kept = split_join(down, low, ["u"], "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return kept.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import Forest, block_pairs, materialise
+from ferrule.llm.common import Forest, block_pairs, materialise, split_join
 from ferrule.llm.components import components
 
 #: Vectors wanted in a cell, and at most held against as many others at a time.
@@ -201,14 +201,19 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     are null, empty, zero or hold a null or non-finite component link with
     nothing, nor do vectors of different width.  n_links counts other vectors
     linked directly, equal ones included; component_id is the smallest id that
-    links reach.  Ids must be whole numbers; rows with a null id are left out;
-    other columns are ignored.
+    links reach.  Ids are whole numbers.  A row whose id is null, or no whole
+    number, is a vector like any other; its component_id is null where its class
+    has no other id, and it is kept then.  Rows that share an id are vectors of
+    their own.  Other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = [] if scratch is None else scratch
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null")
-    rows = rows.withColumn("v", F.when(usable(F.col("v")), F.transform("v", lambda x: x + 0.0)))
-    classes = materialise(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), keep=scratch)
+    # single precision stays as it is until it is compared, so that half as much is shuffled
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).try_cast("bigint").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
+    rows = rows.withColumn("v", F.when(usable(F.col("v")), F.transform("v", lambda x: x + F.lit(0.0).cast(kind))))
+    classes = rows.where("v is not null").groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("copies"))
+    classes = materialise(classes.withColumn("rep", F.monotonically_increasing_id()), keep=scratch)
     k, tables = plan(classes.count(), threshold)
     cells = _cells(classes, k, tables, threshold)
     dealt = block_pairs(cells, ["t", "width", "cell"], "rep", BLOCK).join(classes, "rep")
@@ -218,7 +223,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     found = materialise(_links(dealt, k, tables, threshold), keep=scratch)
     counts = found.where("other is null").groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(found.where("other is not null"), "rep", "other").withColumnRenamed("node", "rep")
-    per_class = classes.join(counts, "rep", "left").join(reached, "rep", "left")
-    per_class = per_class.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = rows.join(per_class, "v", "left").select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    per_class = classes.join(counts, "rep", "left").join(reached, "rep", "left").withColumn("root", F.coalesce("component", "rep"))
+    least = per_class.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("of_root"))
+    per_class = split_join(per_class.drop("component"), least, ["root"], "of_root")
+    per_class = per_class.select("v", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = split_join(rows.where("v is not null"), per_class, ["v"], "copies").select("id", F.col("n_links").cast("bigint"), "component_id")
+    out = linked.unionByName(rows.where("v is null").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

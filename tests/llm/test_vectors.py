@@ -1,6 +1,6 @@
 import numpy as np
 
-from ferrule.llm import vectors
+from ferrule.llm import common, vectors
 
 
 def brute(rows, threshold=0.9):
@@ -64,5 +64,14 @@ def test_odd_rows(spark):
     assert got == {1: (0, 1), 2: (0, 2), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (5, 7), 8: (5, 7), 9: (5, 7), 10: (5, 7), 11: (0, 11), 12: (0, 12), 13: (5, 7), 14: (5, 7)}
 
 
+def test_null_and_repeated_ids(spark, monkeypatch):
+    for hubs in (4096, 1):
+        monkeypatch.setattr(common, "HUBS", hubs)
+        rows = [(None, [1.0, 0.0]), (3, [1.0, 0.01]), (3, [0.0, 1.0]), (None, [-1.0, 0.0]), (None, [-1.0, 0.0]), (None, None), (2, [0.01, 1.0]), (5, [2.0, 0.0])]
+        out = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+        got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id, r.kept) for r in out.collect())
+        assert got == [(-1, 0, -1, True), (-1, 1, -1, True), (-1, 1, -1, True), (-1, 2, 3, False), (2, 1, 2, True), (3, 1, 2, False), (3, 2, 3, True), (5, 2, 3, False)]
+
+
 def test_empty_table(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
