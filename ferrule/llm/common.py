@@ -49,7 +49,7 @@ def materialise(df: DataFrame, *, keep: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     if keep is not None:
         keep.append(path)
     return spark.read.schema(df.schema).parquet(path)

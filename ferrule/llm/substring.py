@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm import words as W
-from ferrule.llm.common import materialise
+from ferrule.llm.common import drop, materialise
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _P1, _P2 = (int(x) | 3 for x in _RNG.integers(1, 2**62, 2))
@@ -44,13 +44,13 @@ _PAIR = np.uint64(int(_RNG.integers(1, 2**62)) | 1)
 #: Word pairs on either side that a cut's hash is less than.
 NEAR = 3
 #: Words in the pieces of an overlong unit, so that every unit has less than twice as many.
-MOST = 64
+MOST = 16
 #: Words that are compared beside a run: more than any unit has.  Where more of them agree, whole units do, and are in a run themselves.
 SIDE = 2 * MOST
 #: Agreeing words beside a run that may lie beyond its neighbouring unit without that unit being the same: those that decide on a cut.
 SLACK = NEAR + 2
-#: Units between two runs of one source that are taken together, as where lines are wrapped anew.
-GAP = 12
+#: Words between two runs of one source that are taken together, as where lines are wrapped anew.
+GAP = 64
 #: In place of an id that is null or no whole number: such rows rank last.
 LAST = (1 << 63) - 1
 
@@ -85,7 +85,6 @@ class Units:
         self.first = np.flatnonzero(new)
         self.last = np.r_[self.first[1:], n].astype(np.int64) if n else self.first
         self.row = row_of_word[self.first] if n else self.first
-        self.unit_at = np.searchsorted(self.row, np.arange(len(at)))
         self.words_at = rows
         self.count = self.last - self.first
 
@@ -119,56 +118,62 @@ def _slices(batches, column: int):
             yield whole.slice(a, b - a)
 
 
+#: A unit's first word, and the words in it and in the units beside it, in one number: FIELD bits for each of the latter.
+FIELD = 6
+
+
 def _units(docs: DataFrame) -> DataFrame:
-    """(row, id, u, s, w, h1, h2, lw, rw) of every unit: place in the document, first word, words, digest, words of the units beside it."""
+    """(row, id, at, h1, h2) of every unit: its place and size, see FIELD, and its digest."""
 
     def run(batches):
         powers = W.Powers()
         for part in _slices(batches, 2):
             units = Units(*W.text_bytes(part.column(2)), powers)
             rows, ids = (part.column(i).to_numpy(zero_copy_only=False)[units.row] for i in (0, 1))
-            place = np.arange(len(units.row)) - units.unit_at[units.row]
             same = units.row[1:] == units.row[:-1]
-            left, right = np.zeros(len(place), np.int32), np.zeros(len(place), np.int32)
-            left[1:][same] = units.count[:-1][same]
-            right[:-1][same] = units.count[1:][same]
-            cols = [rows, ids, place.astype(np.int32), (units.first - units.words_at[units.row]).astype(np.int32), units.count.astype(np.int32), *units.digests(), left, right]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["row", "id", "u", "s", "w", "h1", "h2", "lw", "rw"])
+            beside = np.zeros((2, len(rows)), np.int64)
+            beside[0, 1:][same] = units.count[:-1][same]
+            beside[1, :-1][same] = units.count[1:][same]
+            at = (((units.first - units.words_at[units.row] << FIELD | units.count) << FIELD) | beside[0]) << FIELD | beside[1]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (rows, ids, at, *units.digests())], names=["row", "id", "at", "h1", "h2"])
 
-    return docs.mapInArrow(run, "row bigint, id bigint, u int, s int, w int, h1 bigint, h2 bigint, lw int, rw int")
+    return docs.mapInArrow(run, "row bigint, id bigint, at bigint, h1 bigint, h2 bigint")
 
 
-#: An occurrence of a unit that stands in several places: its first occurrence is (fid, frow, fu), from word fs on; d is its digest.
-_OCCURRENCE = ["u", "s", "w", "lw", "rw", "fid", "frow", "fu", "fs", "d"]
+#: An occurrence of a unit that stands in several places: its first occurrence is (fid, frow), from word fs on; d is its digest.
+_OCCURRENCE = ["at", "fid", "frow", "fs", "d"]
 
 
 class Occurrences:
-    """A document's units that stand in several places, its runs of those that aren't first, and which of the runs may become long enough."""
+    """A document's units that stand in several places, and which of them are in runs that may become long enough.
+
+    Runs are of units side by side of which none is the first occurrence."""
 
     def __init__(self, row: int, us, min_words: int):
-        for name, x in zip(_OCCURRENCE, us.values.flatten(), strict=True):
-            setattr(self, name, x.to_numpy(zero_copy_only=False))
-        u = self.u
-        self.next = np.diff(u) == 1  # whether the one behind is the document's next unit
-        self.same = self.next & (self.frow[1:] == self.frow[:-1]) & (np.diff(self.fu) == 1)
-        at = np.flatnonzero((self.frow != row) | (self.fu != u))
-        begins = np.flatnonzero(np.r_[True, np.diff(u[at]) != 1]) if len(at) else at
-        first, last = at[begins], at[np.r_[begins[1:], len(at)].astype(np.int64) - 1] if len(at) else at
-        total = np.r_[0, np.cumsum(self.w)]
-        size = total[last + 1] - total[first]
-        lw, rw = self.lw[first], self.rw[last]
+        at, self.fid, self.frow, self.fs, self.d = (x.to_numpy(zero_copy_only=False) for x in us.values.flatten())
+        low = (1 << FIELD) - 1
+        lw, rw, self.w, self.s = at >> FIELD & low, at & low, at >> 2 * FIELD & low, at >> 3 * FIELD
+        s = self.s
+        self.e = s + self.w
+        self.next = s[1:] == self.e[:-1]  # whether the one behind is the document's next unit
+        self.same = self.next & (self.frow[1:] == self.frow[:-1]) & (self.fs[1:] == self.fs[:-1] + self.w[:-1])
+        at = np.flatnonzero((self.frow != row) | (self.fs != s))
+        self.inside = np.zeros(len(s), bool)
+        if not len(at):
+            return
+        begins = np.flatnonzero(np.r_[True, s[at[1:]] != self.e[at[:-1]]])
+        first, last = at[begins], at[np.r_[begins[1:], len(at)] - 1]
+        size, lw, rw = self.e[last] - s[first], lw[first], rw[last]
         ok = size + np.where(lw > 0, lw + SLACK, 0) + np.where(rw > 0, rw + SLACK, 0) >= min_words
-        if len(first):
-            # runs that go on at the same source, a few units on
-            near = (u[first[1:]] - u[last[:-1]] <= GAP) & (self.frow[first[1:]] == self.frow[last[:-1]])
-            far = self.fu[first[1:]] - self.fu[last[:-1]]
-            chain = np.cumsum(np.r_[False, ~(near & (far > 0) & (far <= GAP))])
-            ok |= (np.bincount(chain) > 1)[chain] & (2 * np.bincount(chain, size)[chain] >= min_words)
-        self.first, self.last = first[ok], last[ok]
-        inside = np.zeros(len(u) + 1, np.int64)
-        inside[self.first] += 1
-        inside[self.last + 1] -= 1
-        self.inside = np.cumsum(inside)[:-1] > 0
+        # runs that go on at the same source, a few words on
+        far = self.fs[first[1:]] - (self.fs[last[:-1]] + self.w[last[:-1]])
+        near = (s[first[1:]] - self.e[last[:-1]] <= GAP) & (self.frow[first[1:]] == self.frow[last[:-1]]) & (far > 0) & (far <= GAP)
+        chain = np.cumsum(np.r_[False, ~near])
+        ok |= (np.bincount(chain) > 1)[chain] & (2 * np.bincount(chain, size)[chain] >= min_words)
+        turns = np.zeros(len(s) + 1, np.int64)
+        turns[first[ok]] += 1
+        turns[last[ok] + 1] -= 1
+        self.inside = np.cumsum(turns)[:-1] > 0
 
 
 def _table(names: dict[str, pa.DataType], out: list[tuple]) -> pa.RecordBatch:
@@ -180,13 +185,13 @@ def _schema(names: dict[str, pa.DataType]) -> str:
     return ", ".join(f"{n} {'int' if t == pa.int32() else 'boolean' if t == pa.bool_() else 'bigint'}" for n, t in names.items())
 
 
-_JOIN = {"p": pa.int64(), "id": pa.int64(), "row": pa.int64(), "u": pa.int32(), "s": pa.int32(), "e": pa.int32(), "wanted": pa.bool_()}
-#: Units a to b, words s to e - 1 of a document, are units sa to sb, from word ss on, of row srow, whose rank is sid.
-_MATCH = {"row": pa.int64(), "a": pa.int32(), "b": pa.int32(), "s": pa.int32(), "e": pa.int32(), "sid": pa.int64(), "srow": pa.int64(), "sa": pa.int32(), "sb": pa.int32(), "ss": pa.int32()}
+_JOIN = {"p": pa.int64(), "id": pa.int64(), "row": pa.int64(), "s": pa.int32(), "e": pa.int32(), "wanted": pa.bool_()}
+#: Words s to e - 1 of a document stand in row srow as well, from word ss on; that row's rank is sid.
+_MATCH = {"row": pa.int64(), "s": pa.int32(), "e": pa.int32(), "sid": pa.int64(), "srow": pa.int64(), "ss": pa.int32()}
 
 
 def _joins(grouped: DataFrame, min_words: int) -> DataFrame:
-    """Units u and u + 1 whose first occurrences aren't side by side: the pair's digest p, its words, and whether a run that may be long enough has it."""
+    """Two units side by side whose first occurrences aren't: the pair's digest p, its words, and whether a run that may be long enough has it."""
 
     def run(batches):
         for batch in batches:
@@ -196,7 +201,7 @@ def _joins(grouped: DataFrame, min_words: int) -> DataFrame:
                 at = np.flatnonzero(x.next & ~x.same)
                 d = x.d.view(np.uint64)
                 p = W.mix(d[at] * _PAIR + d[at + 1]).view(np.int64)
-                out.append((p, np.full(len(at), ident), np.full(len(at), row), x.u[at], x.s[at], x.s[at + 1] + x.w[at + 1], x.inside[at] & x.inside[at + 1]))
+                out.append((p, np.full(len(at), ident), np.full(len(at), row), x.s[at], x.e[at + 1], x.inside[at] & x.inside[at + 1]))
             yield _table(_JOIN, out)
 
     return grouped.mapInArrow(run, _schema(_JOIN))
@@ -210,43 +215,38 @@ def _matches(grouped: DataFrame, min_words: int) -> DataFrame:
             out = []
             for row, us in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
                 x = Occurrences(row, us, min_words)
-                if not len(x.first):
-                    continue
                 at = np.flatnonzero(x.inside)
-                new = np.r_[True, (np.diff(at) != 1) | ~x.same[at[1:] - 1]]
-                begins = np.flatnonzero(new)
+                if not len(at):
+                    continue
+                begins = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | ~x.same[at[1:] - 1]])
                 a, b = at[begins], at[np.r_[begins[1:], len(at)] - 1]
-                out.append((np.full(len(a), row), x.u[a], x.u[b], x.s[a], x.s[b] + x.w[b], x.fid[a], x.frow[a], x.fu[a], x.fu[b], x.fs[a]))
+                out.append((np.full(len(a), row), x.s[a], x.e[b], x.fid[a], x.frow[a], x.fs[a]))
             yield _table(_MATCH, out)
 
     return grouped.mapInArrow(run, _schema(_MATCH))
 
 
 def _beside(requests: DataFrame) -> DataFrame:
-    """Of rows with requests (array of (u, side)): 32 bits of the word hashes beside unit u, nearest first; side -1 before, 1 behind."""
+    """Of rows with requests (array of (at, side)): 32 bits of each word's hash, nearest first, before word `at` (side -1) or from it on (1)."""
 
     def run(batches):
         powers = W.Powers()
         for part in _slices(batches, 1):
-            units = Units(*W.text_bytes(part.column(1)), powers)
-            short = (units.hash >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            hashes, _, _, rows = W.words(*W.text_bytes(part.column(1)), powers)
+            short = (hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)
             out: list[tuple] = []
             for r, (row, asked) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
-                lo, hi = units.words_at[r], units.words_at[r + 1]
+                lo, hi = rows[r], rows[r + 1]
                 for x in asked:
-                    j = units.unit_at[r] + x["u"]
-                    if x["side"] < 0:
-                        got = short[max(lo, units.first[j] - SIDE) : units.first[j]][::-1]
-                    else:
-                        got = short[units.last[j] : min(hi, units.last[j] + SIDE)]
-                    out.append((row, x["u"], x["side"], got))
-            row, u, side, got = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
-            at = np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int32)
+                    at = lo + x["at"]
+                    out.append((row, x["at"], x["side"], short[max(lo, at - SIDE) : at][::-1] if x["side"] < 0 else short[at : min(hi, at + SIDE)]))
+            row, place, side, got = (list(x) for x in zip(*out, strict=True)) if out else ([], [], [], [])
+            offsets = np.r_[0, np.cumsum([len(x) for x in got])].astype(np.int32)
             flat = np.concatenate([np.zeros(0, np.int32), *got])
-            near = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(u, pa.int32()), pa.array(side, pa.int32()), near], names=["row", "u", "side", "near"])
+            near = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(place, pa.int32()), pa.array(side, pa.int32()), near], names=["row", "at", "side", "near"])
 
-    return requests.mapInArrow(run, "row bigint, u int, side int, near array<int>")
+    return requests.mapInArrow(run, "row bigint, at int, side int, near array<int>")
 
 
 def cover(matches: list[tuple], min_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
@@ -280,8 +280,10 @@ def _covers(grouped: DataFrame, min_words: int) -> DataFrame:
         for batch in batches:
             out = []
             for row, ms in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                cols = [x.to_pylist() for x in ms.values.flatten()]
-                spans, left = cover([((i, r, u), r, u, s, e) for i, r, u, s, e in zip(*cols, strict=True)], min_words)
+                longer: dict[tuple, list[int]] = {}
+                for *match, side, n in zip(*(x.to_pylist() for x in ms.values.flatten()), strict=True):
+                    longer.setdefault(tuple(match), [0, 0])[side > 0] = n
+                spans, left = cover([((i, r, u), r, u - a, s - a, e + b) for (i, r, u, s, e), (a, b) in longer.items()], min_words)
                 if spans:
                     out.append((row, [{"s": s, "e": e} for s, e in spans], [{"row": r, "s": s, "e": e} for r, s, e in left]))
             cols = list(zip(*out, strict=True)) or [[]] * 3
@@ -317,36 +319,38 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     any other, so its text goes if it is long enough.  All other columns are kept;
     an input column named `removed` is replaced.  min_words is 3 at least.
     """
+    spark = docs.sparkSession
     scratch = [] if scratch is None else scratch
     row = "__row"
     numbered = materialise(docs.drop("removed").withColumn(row, F.monotonically_increasing_id()), keep=scratch)
-    narrow = numbered.select(F.col(row).alias("row"), F.coalesce(F.col(id_col).try_cast("bigint"), F.lit(LAST)).alias("id"), F.col(text_col).cast("string").alias("text"))
+    ident = F.coalesce(F.col(id_col).try_cast("bigint"), F.lit(LAST)).alias("id")
+    narrow = numbered.select(F.col(row).alias("row"), ident, F.col(text_col).cast("string").alias("text"))
+    work: list[str] = []
     units = _units(narrow)
-    firsts = units.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "u", "s")).alias("f"), F.count("*").alias("n")).where("n > 1")
+    firsts = units.groupBy("h1", "h2").agg(F.min(F.struct("id", "row", "at")).alias("f"), F.count("*").alias("n")).where("n > 1")
     # written, so that the join below has an exchange of its own on either side, and a frequent unit's can be split
-    firsts = materialise(firsts.select("h1", "h2", F.col("f.id").alias("fid"), F.col("f.row").alias("frow"), F.col("f.u").alias("fu"), F.col("f.s").alias("fs")), keep=scratch)
-    again = units.join(firsts, ["h1", "h2"]).withColumn("d", F.xxhash64("h1", "h2"))
-    grouped = materialise(again.groupBy("row", "id").agg(F.sort_array(F.collect_list(F.struct(*_OCCURRENCE))).alias("us")), keep=scratch)
-
-    joins = materialise(_joins(grouped, min_words), keep=scratch)
-    pairs = joins.groupBy("p").agg(F.min(F.struct("id", "row", "u", "s")).alias("f"), F.max("wanted").alias("wanted"), F.count("*").alias("n")).where("wanted and n > 1").select("p", "f")
-    of_pairs = joins.where("wanted").join(pairs, "p").where("row <> f.row or u <> f.u")
-    of_pairs = of_pairs.selectExpr("row", "u as a", "u + 1 as b", "s", "e", "f.id as sid", "f.row as srow", "f.u as sa", "f.u + 1 as sb", "f.s as ss")
+    firsts = materialise(firsts.selectExpr("h1", "h2", "f.id as fid", "f.row as frow", f"shiftright(f.at, {3 * FIELD}) as fs"), keep=work)
+    again = units.select("row", "at", "h1", "h2").join(firsts, ["h1", "h2"]).withColumn("d", F.xxhash64("h1", "h2"))
+    grouped = again.groupBy("row").agg(F.sort_array(F.collect_list(F.struct(*_OCCURRENCE))).alias("us"))
+    grouped = materialise(grouped.join(narrow.select("row", "id"), "row").select("row", "id", "us"), keep=work)
+
+    joins = materialise(_joins(grouped, min_words), keep=work)
+    pairs = joins.groupBy("p").agg(F.min(F.struct("id", "row", "s")).alias("f"), F.max("wanted").alias("wanted"), F.count("*").alias("n")).where("wanted and n > 1").select("p", "f")
+    of_pairs = joins.where("wanted").join(pairs, "p").where("row <> f.row or s <> f.s").selectExpr("row", "s", "e", "f.id as sid", "f.row as srow", "f.s as ss")
     matches = materialise(_matches(grouped, min_words).unionByName(of_pairs), keep=scratch)
-
-    # either side of a match: the unit that the words stand beside, here and there
-    side = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(u).alias("u"), F.col(v).alias("su")) for s, u, v in ((-1, "a", "sa"), (1, "b", "sb"))]))
-    sides = matches.select("row", "srow", side.alias("x")).select("row", "srow", "x.*").distinct()
-    asked = sides.select("row", "u", "side").union(sides.select("srow", "su", "side")).distinct().groupBy("row").agg(F.collect_list(F.struct("u", "side")).alias("asked"))
-    near = materialise(_beside(narrow.select("row", "text").join(asked, "row").select("row", "text", "asked")), keep=scratch)
-    theirs = near.select(F.col("row").alias("srow"), F.col("u").alias("su"), "side", F.col("near").alias("theirs"))
+    drop(spark, work)
+
+    # either side of a match: the word before which, or from which on, the words beside it stand, here and there
+    side = F.explode(F.array(*[F.struct(F.lit(x).alias("side"), F.expr(here).alias("at"), F.expr(there).alias("sat")) for x, here, there in ((-1, "s", "ss"), (1, "e", "ss + e - s"))]))
+    sides = matches.select("*", side.alias("x")).select(*matches.columns, "x.*")
+    asked = sides.select("row", "at", "side").union(sides.select("srow", "sat", "side")).distinct().groupBy("row").agg(F.collect_list(F.struct("at", "side")).alias("asked"))
+    near = materialise(_beside(narrow.select("row", "text").join(asked, "row").select("row", "text", "asked")), keep=work)
+    theirs = near.select(F.col("row").alias("srow"), F.col("at").alias("sat"), "side", F.col("near").alias("theirs"))
     differ = F.array_position(F.zip_with("near", "theirs", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False))
-    agreed = sides.join(theirs, ["srow", "su", "side"]).join(near, ["row", "u", "side"])
-    agreed = materialise(agreed.select("row", "u", "srow", "su", "side", F.when(differ > 0, differ - 1).otherwise(F.size("near")).cast("int").alias("n")), keep=scratch)
-    of_side = {s: agreed.where(F.col("side") == s).select("row", F.col("u").alias(u), "srow", F.col("su").alias(v), F.col("n").alias(n)) for s, u, v, n in ((-1, "a", "sa", "l"), (1, "b", "sb", "r"))}
-    full = matches.join(of_side[-1], ["row", "a", "srow", "sa"]).join(of_side[1], ["row", "b", "srow", "sb"])
-    full = full.selectExpr("row", "struct(sid, srow, ss - l as ss, s - l as s, e + r as e) as m")
-    covers = materialise(_covers(full.groupBy("row").agg(F.collect_list("m").alias("ms")), min_words), keep=scratch)
+    agreed = sides.join(theirs, ["srow", "sat", "side"]).join(near, ["row", "at", "side"])
+    agreed = agreed.withColumn("n", F.when(differ > 0, differ - 1).otherwise(F.size("near")).cast("int"))
+    covers = materialise(_covers(agreed.groupBy("row").agg(F.collect_list(F.struct("sid", "srow", "ss", "s", "e", "side", "n")).alias("ms")), min_words), keep=scratch)
+    drop(spark, work)
     left = covers.select(F.explode("left").alias("x")).select("x.*").groupBy("row", "s").agg(F.max("e").alias("e"))
     left = left.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("left"))
     per_row = covers.select("row", "spans").join(left, "row", "left").select(F.col("row").alias(row), F.struct("spans", "left").alias("__cut"))
