@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint of `df` in the shared folder that the session names; under /tmp, where it names none."""
-    spark = df.sparkSession
+def checkpoint_dir(spark: SparkSession) -> None:
+    """Have checkpoints written to the shared folder that the session names.
+
+    Where it names none, as in tests, they go under /tmp, but on a local master alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/ferrule-checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or "/tmp/ferrule-checkpoints")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint of `df`."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
