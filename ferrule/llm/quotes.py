@@ -17,7 +17,7 @@ from ferrule.llm.common import drop, materialise
 
 #: The marks at the head of a quoted line, and a line that introduces a quote; the same in Java's and RE2's syntax.
 MARKS = r"^[ \t]*>[> \t]*"
-INTRODUCES = r"^.{0,200}(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
+INTRODUCES = r"^.*(wrote|writes|said|schrieb|a écrit|escribió)[ \t]*:[ \t]*$"
 #: Turns that are numbered together; see _before().
 BUCKET = 4096
 MOST_ROUNDS = 64

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrule.llm import words as W
-from ferrule.llm.common import drop, materialise
+from ferrule.llm.common import drop, materialise, split_join
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 _P1, _P2 = (int(x) | 3 for x in _RNG.integers(1, 2**62, 2))
@@ -335,8 +335,8 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     grouped = materialise(grouped.join(narrow.select("row", "id"), "row").select("row", "id", "us"), keep=work)
 
     joins = materialise(_joins(grouped, min_words), keep=work)
-    pairs = joins.groupBy("p").agg(F.min(F.struct("id", "row", "s")).alias("f"), F.max("wanted").alias("wanted"), F.count("*").alias("n")).where("wanted and n > 1").select("p", "f")
-    of_pairs = joins.where("wanted").join(pairs, "p").where("row <> f.row or s <> f.s").selectExpr("row", "s", "e", "f.id as sid", "f.row as srow", "f.s as ss")
+    pairs = joins.groupBy("p").agg(F.min(F.struct("id", "row", "s")).alias("f"), F.max("wanted").alias("wanted"), F.count("*").alias("n")).where("wanted and n > 1").select("p", "f", "n")
+    of_pairs = split_join(joins.where("wanted"), pairs, ["p"], "n").where("row <> f.row or s <> f.s").selectExpr("row", "s", "e", "f.id as sid", "f.row as srow", "f.s as ss")
     matches = materialise(_matches(grouped, min_words).unionByName(of_pairs), keep=scratch)
     drop(spark, work)
 

@@ -1,30 +1,65 @@
 import random
 import re
+import textwrap
+
+import pytest
 
 from ferrule.llm import licenses as L
 
 
 def brute(rows, threshold=L.THRESHOLD):
     known = L.templates()
-    found = {}
+    hooks = set(L.hooks(known, threshold))
+    found, in_units = {}, {}
+
+    def hold(w):
+        g = frozenset(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))
+        d, name = min((-2 * len(g & set(grams)) / (len(g) + len(grams)), name) for name, grams, *_ in known)
+        return g, -d if -d >= threshold - 1e-12 else 0, name
+
     for i, text in rows:
         if text is None:
             continue
         t = text.lower()
-        units = set(re.split(r"[.!?][ \t\r]+|[\r\n]+", t)) | set(re.split(r"[\r\n]+", t)) | {t}
-        for u in units:
-            w = L.normalise(u)
-            g = frozenset(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))
-            d, name = min((-2 * len(g & set(grams)) / (len(g) + len(grams)), name) for name, grams, _, _ in known)
-            if -d >= threshold - 1e-12:
-                found.setdefault((i, name), {})[g] = -d
-    return {(i, n, round(max(s.values()), 6), len(s)) for (i, n), s in found.items()}
+        for u in set(re.split(r"[.!?][ \t\r]+|[\r\n]+", t)) | set(re.split(r"[\r\n]+", t)) | {t}:
+            g, d, name = hold(L.normalise(u))
+            if d:
+                found.setdefault((i, name), set()).add(d)
+                in_units.setdefault((i, name), set()).add(g)
+        w, matched, top = L.normalise(t), [], {}
+        for n, step in L.windows(known):
+            if len(w) > n and hooks & set(w):
+                for b in {*range(0, len(w) - n + 1, step), len(w) - n}:
+                    if hooks & set(w[b : b + n]):
+                        _, d, name = hold(w[b : b + n])
+                        matched.append((b, n, d, name))
+                        for p in range(b, b + n):
+                            top[p] = max(d, top.get(p, 0))
+        for b, n, d, name in matched:
+            if d and all(top[p] <= d for p in range(b, b + n)):
+                found.setdefault((i, name), set()).add(d)
+    return {(i, n, round(max(s), 6), max(1, len(in_units.get((i, n), ())))) for (i, n), s in found.items()}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "; "])
+def test_wrapped_notices(spark, mark):
+    """Every template, wrapped at 75 columns behind comment marks, between other lines."""
+    rows = []
+    for i, (_, text) in enumerate(L.TEMPLATES):
+        lines = textwrap.wrap("import this, then go on with that and more. " * (i % 2) + text, 75 - len(mark))
+        rows.append((i, "\n".join(mark + x for x in ["Something else", *lines, "int main(void) and other words"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {}
+    for r in L.scan(docs).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.dice
+    for i, (name, _) in enumerate(L.TEMPLATES):
+        assert got[i].get(name, 0) >= 0.95, (name, got.get(i))
 
 
 def test_brute_force(spark):
     rng = random.Random(1)
     rows = []
-    for i in range(300):
+    for i in range(200):
         _, text = rng.choice(L.TEMPLATES)
         w = text.split()
         for _ in range(rng.choice([0, 0, 1, 2, 4])):
