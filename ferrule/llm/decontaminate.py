@@ -22,12 +22,17 @@ Documents are searched in windows of words, for items of a benchmark.
    in another order aren't.  If items have answers, a smaller share will do
    where the answer's words stand nearby as well.
 
-Items are read in batches of at most BATCH; what goes to the executors is a
-matrix of a batch's words by its latent dimensions, of bounded size.
+Document frequencies are counted once for all items.  The search itself takes
+BATCH pieces of items at a time, of at most LONGEST_ITEM words each, so that what
+goes to the executors is a matrix of bounded size: at most BATCH * LONGEST_ITEM
+words by BATCH + EXTRA + SPARE dimensions.  As the stretches of step 3 don't
+depend on the matrix, nor does what is found within an item's reach.
 """
 
 from __future__ import annotations
 
+import contextlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -50,32 +55,15 @@ SEED = 5
 _BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-class Items:
-    """A batch of items: their words' numbers, and what is known of each word."""
+class Vocabulary:
+    """Distinct words, by their hashes in ascending order."""
 
-    def __init__(self, ids: list, texts: list, answers: list, powers: W.Powers):
-        h, _, _, rows = W.words(*W.text_bytes(W.lowered(pa.array(texts, pa.large_string()))), powers, breaks=_BREAK)
-        self.vocabulary, word = np.unique(h, return_inverse=True)
-        self.ids, self.words, self.answers = [], [], []
-        answer_hashes = W.words(*W.text_bytes(W.lowered(pa.array(answers, pa.large_string()))), powers, breaks=_BREAK)
-        for i, ident in enumerate(ids):
-            mine = word[rows[i] : rows[i + 1]]
-            n = max(1, -(-len(mine) // LONGEST_ITEM))
-            for piece in np.array_split(mine, n):
-                if len(piece):
-                    self.ids.append(ident)
-                    self.words.append(piece)
-                    self.answers.append(answer_hashes[0][answer_hashes[3][i] : answer_hashes[3][i + 1]])
-        self.fewest = FEWEST
-        #: What the common subsequence must hold, of an item's idf; words in the longest stretch that is searched as one.
-        self.share = np.array([SHARE_WITH_ANSWER if len(a) else SHARE for a in self.answers])
-        self.span = np.array([2 * len(w) + 2 * BLOCK for w in self.words], np.int64)
+    def __init__(self, hashes: np.ndarray):
+        self.vocabulary = np.unique(hashes)
         bits = 20
         self.mask = np.uint64((1 << bits) - 1)
         self.maybe = np.zeros(1 << bits, bool)
         self.maybe[(self.vocabulary & self.mask).astype(np.int64)] = True
-        self.idf = self.weight = np.zeros(len(self.vocabulary), np.float32)
-        self.basis = self.latent = np.zeros((0, 0), np.float32)
 
     def number(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the words are the items', and their numbers."""
@@ -84,13 +72,39 @@ class Items:
         real = self.vocabulary[found] == hashes[at]
         return at[real], found[real]
 
-    def weigh(self, counts: np.ndarray, blocks: int) -> None:
-        self.idf = np.log((blocks + 1) / (counts + 0.5)).clip(1e-3).astype(np.float32)
-        useful = counts <= max(COMMON * blocks, 8)
+
+class Items(Vocabulary):
+    """A batch of items: their words' numbers, and what is known of each word."""
+
+    def __init__(self, ids: list, texts: list, answers: list, powers: W.Powers):
+        h, _, _, rows = _item_words(texts, powers)
+        super().__init__(h)
+        word = np.searchsorted(self.vocabulary, h)
+        answer_hashes = _item_words(answers, powers)
+        full = [i for i in range(len(ids)) if rows[i] < rows[i + 1]]
+        self.ids = [ids[i] for i in full]
+        self.words = [word[rows[i] : rows[i + 1]] for i in full]
+        self.answers = [answer_hashes[0][answer_hashes[3][i] : answer_hashes[3][i + 1]] for i in full]
+        #: What the common subsequence must hold, of an item's idf; words in the longest stretch that is searched as one.
+        self.share = np.array([SHARE_WITH_ANSWER if len(a) else SHARE for a in self.answers])
+        self.span = np.array([2 * len(w) + 2 * BLOCK for w in self.words], np.int64)
+        self.basis = self.latent = np.zeros((0, 0), np.float32)
+
+    def rarest(self, known: Vocabulary, counts: np.ndarray) -> tuple[np.ndarray, int]:
+        """Which words (numbers in `known`) are among the RAREST of an item, and the fewest distinct words that an item has."""
+        at = np.searchsorted(known.vocabulary, self.vocabulary)
+        found, fewest = [np.zeros(0, np.int64)], FEWEST
         for word in self.words:
-            distinct = np.unique(word)
-            useful[distinct[np.argsort(counts[distinct], kind="stable")[:RAREST]]] = True
-            self.fewest = min(self.fewest, len(distinct))
+            distinct = np.unique(at[word])
+            found.append(distinct[np.argsort(counts[distinct], kind="stable")[:RAREST]])
+            fewest = min(fewest, len(distinct))
+        return np.unique(np.concatenate(found)), fewest
+
+    def weigh(self, known: Vocabulary, every: np.ndarray, blocks: int, useful: np.ndarray, fewest: int) -> None:
+        """Weights from counts in `blocks` blocks of the words of all items, `known`; nothing depends on who else is in the batch."""
+        at = np.searchsorted(known.vocabulary, self.vocabulary)
+        counts, useful, self.fewest = every[at], useful[at], fewest
+        self.idf = np.log((blocks + 1) / (counts + 0.5)).clip(1e-3).astype(np.float32)
         self.weight = np.where(useful, self.idf, 0).astype(np.float32)
         # an item's rarest words, until those left out hold at most half of what verification asks for
         self.need = np.zeros(len(self.words))
@@ -146,7 +160,19 @@ def _unit(row: np.ndarray, word: np.ndarray, weight: np.ndarray, n_words: int):
     return row, word, value / np.repeat(norm, size), begins, size
 
 
-def _occurrences(column: pa.Array, items: Items, powers: W.Powers):
+def _item_words(texts: list, powers: W.Powers):
+    return W.words(*W.text_bytes(W.lowered(pa.array(texts, pa.large_string()))), powers, breaks=_BREAK)
+
+
+def pieces(text: str, powers: W.Powers) -> list[str]:
+    """An item's text, cut into even pieces of at most LONGEST_ITEM words; nothing of a text without words."""
+    raw, at = W.text_bytes(W.lowered(pa.array([text], pa.large_string())))
+    _, start, end, _ = W.words(raw, at, powers, breaks=_BREAK)
+    parts = np.array_split(np.arange(len(start)), max(1, -(-len(start) // LONGEST_ITEM)))
+    return [raw[start[p[0]] : end[p[-1]]].tobytes().decode("utf-8", "replace") for p in parts if len(p)]
+
+
+def _occurrences(column: pa.Array, items: Vocabulary, powers: W.Powers):
     """The items' words in some texts: word's place, its number, its block, and the words' layout.  A row's blocks begin with its first word."""
     raw, at = W.text_bytes(W.lowered(column))
     h, start, end, rows = W.words(raw, at, powers, breaks=_BREAK)
@@ -158,6 +184,16 @@ def _occurrences(column: pa.Array, items: Items, powers: W.Powers):
     return place, number, block, row, (raw, at, h, start, end, rows, first_block)
 
 
+@contextlib.contextmanager
+def shared_value(spark, value):
+    """A broadcast variable that is gone from the executors when it is no longer needed."""
+    shared = spark.sparkContext.broadcast(value)
+    try:
+        yield shared
+    finally:
+        shared.unpersist()
+
+
 def _slices(batches, column: int):
     for whole in batches:
         for a, b in W.slices(whole.column(column)):
@@ -367,7 +403,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
 
     begin and end are the place in the text, in code points, end exclusive; share
     is how much of the item's idf the common subsequence there holds.  The best
-    place of each pair of row and item is returned.  Null or empty texts hold
+    place of each pair of row and item is returned (of an item of more than BATCH pieces, one for each BATCH of them).  Null or empty texts hold
     nothing and null or empty items are held by nothing; case is ignored; null item ids are left
     out; repeated rows are each searched.  Other columns are ignored.
     """
@@ -377,28 +413,46 @@ def find(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     answer = F.col(answer_col).cast("string") if answer_col else F.lit("")
     wanted = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).cast("string").alias("t"), F.coalesce(answer, F.lit("")).alias("a")).where("i is not null and t is not null")
-    found, batch, powers = [], [], W.Powers()
-
-    def search(batch):
-        items = Items(*map(list, zip(*batch, strict=True)), powers)
-        if not items.words:
-            return
-        shared = spark.sparkContext.broadcast(items)
-        texts = rows.select("text")
-        items.weigh(*_count(texts, shared))
-        shared = spark.sparkContext.broadcast(items)
-        _decompose(texts, shared, items)
-        shared = spark.sparkContext.broadcast(items)
-        found.append(materialise(_search(rows, shared, id_type), keep=scratch))
-
-    # the items themselves are the stated query set; BATCH of them are in memory at a time
-    for r in wanted.orderBy("i", "t", "a").toLocalIterator():
-        batch.append((r.i, r.t, r.a))
-        if len(batch) == BATCH:
-            search(batch)
-            batch = []
-    if batch:
-        search(batch)
+    # the items themselves are the stated query set; only batches of them are in memory, and of all of them the distinct words' hashes
+    wanted = materialise(wanted, keep=scratch)
+    powers = W.Powers()
+
+    def batches():
+        batch: list[tuple] = []
+        for r in wanted.orderBy("i", "t", "a").toLocalIterator():
+            mine = [(r.i, t, r.a) for t in pieces(r.t, powers)]
+            if len(batch) + len(mine) > BATCH and batch:  # an item's pieces stay together, unless it fills more than a batch
+                yield Items(*map(list, zip(*batch, strict=True)), powers)
+                batch = []
+            for a in range(0, len(mine), BATCH):
+                batch += mine[a : a + BATCH]
+                if len(batch) == BATCH:
+                    yield Items(*map(list, zip(*batch, strict=True)), powers)
+                    batch = []
+        if batch:
+            yield Items(*map(list, zip(*batch, strict=True)), powers)
+
+    texts = rows.select("text")
+    known = Vocabulary(np.zeros(0, np.uint64))
+    for items in batches():
+        known = Vocabulary(np.concatenate([known.vocabulary, items.vocabulary]))
+    found = []
+    if len(known.vocabulary):
+        with shared_value(spark, known) as shared:
+            counts, blocks = _count(texts, shared)
+        useful, fewest = counts <= max(COMMON * blocks, 8), FEWEST
+        for items in batches():
+            some, least = items.rarest(known, counts)
+            useful[some] = True
+            fewest = min(fewest, least)
+        for items in batches():
+            if not items.words:
+                continue
+            items.weigh(known, counts, blocks, useful, fewest)
+            with shared_value(spark, items) as shared:
+                _decompose(texts, shared, items)
+            with shared_value(spark, items) as shared:
+                found.append(materialise(_search(rows, shared, id_type), keep=scratch))
     out = found[0] if found else spark.createDataFrame([], f"id {id_type}, item_id bigint, cosine double, share double, begin bigint, end bigint")
     for x in found[1:]:
         out = out.unionByName(x)

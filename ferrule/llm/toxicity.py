@@ -1,17 +1,15 @@
 """Toxicity: averaged subword-bag embeddings under a linear softmax.
 
-A word is a bag of character n-grams, each with an embedding in a hashed table;
-the embedding of a window of words is the mean of its words', a word's the mean
-of its n-grams'.  Embeddings and the softmax layer are trained jointly in numpy,
+A word is a bag of character n-grams, each with an embedding in a hashed table; a
+word's embedding is the mean of its n-grams', a document's the mean of those of
+its bag of words.  Embeddings and the softmax layer are trained jointly in numpy,
 so that a misspelling nobody has seen shares most of its vectors with the word.
 
-One insult in a long text vanishes in an average over all of it, so a document
-is as toxic as its most toxic window, and the labels of documents train their
-highest windows: at first those whose n-grams are most typical of toxic
-documents, by smoothed log-odds of document counts, then, round by round, those
-that the model itself puts highest.  Measured on held-out documents, windows of
-one word beat longer ones.  A logistic fit turns the highest window's logit into
-a probability.
+One insult in a long text vanishes in an average over all of it, so a document's
+bag are the BAG words that the model puts highest, if they speak against it; training chooses them anew,
+round by round, at first by smoothed log-odds of the n-grams' document counts.
+Held out on sf0.1, bags of three words beat single ones, and windows of words
+side by side.  A logistic fit turns the bag's logit into a probability.
 
 All of this is linear behind the embeddings, so what scoring needs is one number
 an n-gram and two for the logistic: a table of fixed size that goes to the
@@ -29,13 +27,14 @@ from pyspark.sql import functions as F
 
 from ferrule.llm import words as W
 
-#: Rows of the embedding table and its width; lengths of n-grams in bytes, word ends included; words in a window.
-BUCKETS, WIDTH, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5, 6), 1
-#: The classifier is fitted on at most so many labelled documents of each class, none longer than LONGEST characters.
-TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 2000, 4000, 100_000
+#: Rows of the embedding table and its width; lengths of n-grams in bytes, word ends included; words in a document's bag.
+BUCKETS, WIDTH, GRAMS, BAG = 1 << 18, 8, (3, 4, 5, 6), 3
+#: The classifier is fitted on at most so many labelled documents of each class, one text of each id, none longer than LONGEST
+#: characters: 120 million characters at most.
+TOXIC_SAMPLE, CLEAN_SAMPLE, LONGEST = 2000, 4000, 20_000
 #: N-grams of fewer training documents have no vector; documents that smooth the log-odds.
 LEAST, SMOOTH = 4, 5.0
-#: Rounds of choosing windows, passes over them in each, step size, and further windows of each clean document.
+#: Rounds of choosing bags, passes over them in each, step size, and further bags of each clean document.
 ROUNDS, PASSES, RATE, OTHERS = 4, 4, 3.0, 4
 SEED = 11
 
@@ -112,20 +111,20 @@ def word_values(v: Vocabulary, table: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_means(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row, the highest mean over WINDOW words side by side (over all, if there are fewer), and its first word; 0 and -1 without words."""
-    n = np.diff(rows)
-    best, where = np.zeros(len(n)), np.full(len(n), -1, np.int64)
-    total = np.r_[0.0, np.cumsum(values)]
-    short = (n > 0) & (n < WINDOW)
-    best[short] = (total[rows[1:][short]] - total[rows[:-1][short]]) / n[short]
-    where[short] = rows[:-1][short]
-    for r in np.flatnonzero(n >= WINDOW):
-        a, b = rows[r], rows[r + 1]
-        mean = (total[a + WINDOW : b + 1] - total[a : b - WINDOW + 1]) / WINDOW
-        k = int(mean.argmax())
-        best[r], where[r] = mean[k], a + k
-    return best, where
+def bag_means(values: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each row, the mean of its bag, and the bag's words: the BAG highest, those below 0 being no more than an empty place.
+
+    A bag has BAG places whatever a row's length, so that what few other words a short text has don't matter; a row
+    without a word above 0 has the highest word in its bag, and no words give 0."""
+    means, bag = np.zeros(len(rows) - 1), []
+    for r, (a, b) in enumerate(zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True)):
+        words = a + np.argpartition(-values[a:b], BAG - 1)[:BAG] if b - a > BAG else np.arange(a, b)
+        if len(words):
+            above = words[values[words] > 0]
+            words = above if len(above) else words[[values[words].argmax()]]
+            means[r] = values[words].sum() / BAG
+        bag.append(words)
+    return means, bag
 
 
 @dataclass
@@ -137,7 +136,7 @@ class Model:
     def scores(self, column: pa.Array, powers: W.Powers) -> np.ndarray:
         v = Vocabulary(column, powers)
         values = word_values(v, self.table)[v.word] if len(v.word) else np.zeros(0)
-        best, _ = window_means(values, v.rows)
+        best, _ = bag_means(values, v.rows)
         return 1 / (1 + np.exp(-np.clip(self.slope * best + self.shift, -50, 50)))
 
 
@@ -169,12 +168,12 @@ def _fit(emb, soft, bias, memory, examples, y, rng):
                 value[where] -= RATE * d / np.sqrt(memory[name])
 
 
-def _example(v: Vocabulary, a: int, b: int):
-    """The n-grams of words a to b - 1 with weights that make the mean of the words' means."""
-    word, times = np.unique(v.word[a:b], return_counts=True)
+def _example(v: Vocabulary, words: np.ndarray):
+    """The n-grams of some words with weights that make the words' means share a bag's BAG places."""
+    word, times = np.unique(v.word[words], return_counts=True)
     size = v.gram_at[word + 1] - v.gram_at[word]
     at = np.repeat(v.gram_at[word] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
-    return v.grams[at], np.repeat(times / size / (b - a), size)
+    return v.grams[at], np.repeat(times / size / BAG, size)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -208,7 +207,7 @@ def train(texts: list[str], labels: list[int]) -> Model:
     full = [i for i in range(len(texts)) if v.rows[i] < v.rows[i + 1]]
     seen = np.zeros((2, BUCKETS))
     for i in full:
-        seen[y[i], np.unique(_example(v, v.rows[i], v.rows[i + 1])[0])] += 1
+        seen[y[i], np.unique(_example(v, np.arange(v.rows[i], v.rows[i + 1]))[0])] += 1
     common = seen.sum(0) >= LEAST
     n = np.bincount(y, minlength=2)
     share = SMOOTH * n / n.sum()
@@ -216,19 +215,18 @@ def train(texts: list[str], labels: list[int]) -> Model:
     table = np.where(common, odds[1] - odds[0], 0)
     memory: dict[str, float] = {}
     for _ in range(ROUNDS):
-        _, where = window_means(word_values(v, table)[v.word], v.rows)
+        _, bag = bag_means(word_values(v, table)[v.word], v.rows)
         examples, target = [], []
         for i in full:
-            a, b = v.rows[i], v.rows[i + 1]
-            begins = [where[i]]
-            if y[i] == 0:  # and windows that aren't its highest
-                begins += (a + rng.integers(0, max(1, b - a - WINDOW + 1), OTHERS)).tolist()
-            examples += [_example(v, x, min(x + WINDOW, b)) for x in begins]
-            target += [y[i]] * len(begins)
+            some = [bag[i]]
+            if y[i] == 0:  # and bags that aren't its highest
+                some += [rng.integers(v.rows[i], v.rows[i + 1], BAG) for _ in range(OTHERS)]
+            examples += [_example(v, words) for words in some]
+            target += [y[i]] * len(some)
         _fit(emb, soft, bias, memory, examples, np.array(target), rng)
         table = np.where(common, emb @ (soft[:, 1] - soft[:, 0]), 0)
     table = table.astype(np.float32)
-    best, _ = window_means(word_values(v, table)[v.word], v.rows)
+    best, _ = bag_means(word_values(v, table)[v.word], v.rows)
     return Model(table, *_logistic(best, y.astype(float)))
 
 
@@ -241,7 +239,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     known = marked.join(texts.select("id").distinct(), "id")
     by = F.xxhash64("id", F.lit(SEED))
     chosen = known.where("y = 1").orderBy(by, "id").limit(TOXIC_SAMPLE).union(known.where("y = 0").orderBy(by, "id").limit(CLEAN_SAMPLE))
-    return texts.join(F.broadcast(chosen), "id").select("id", "text", "y")
+    # one text of each id, so that the number of rows is bounded, too
+    return texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
 
 
 def held_out(ident):
@@ -256,6 +255,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     `threshold` on.  A null, empty or wordless text gets the score of a text
     without any sign of toxicity.  held_out is null for a null id.  Labels other
     than 0 and 1 are ignored; of several for one document, the highest counts.
+    Of rows that share an id, the least text of those short enough is learned from.
     Columns of `docs` with the names of results are replaced.
     """
     spark = docs.sparkSession

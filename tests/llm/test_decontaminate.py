@@ -63,6 +63,54 @@ def test_finds_copies_and_paraphrases_only(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in D.find(d, b).collect()} == truth
 
 
+def test_batches_change_nothing(spark, monkeypatch):
+    """Items with 20 to 40 % of their words changed, in batches of any size; and the search against every place, in plain Python."""
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(4000)] + ["the", "of"] * 400
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(15, 50)))) for i in range(25)]
+    docs = []
+    for d in range(300):
+        words = rng.choices(vocabulary, k=rng.randint(0, 200))
+        w = rng.choice(items)[1].split()
+        for k in rng.sample(range(len(w)), int(len(w) * rng.uniform(0.2, 0.4))):
+            w[k] = rng.choice(vocabulary)
+        at = rng.randint(0, len(words))
+        words[at:at] = w
+        docs.append((d, " ".join(words)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    sizes = {}
+    for size in (256, 8, 2):
+        monkeypatch.setattr(D, "BATCH", size)
+        sizes[size] = {(r.doc_id, r.item_id) for r in D.find(frame, bench).collect()}
+    assert sizes[256] == sizes[8] == sizes[2]
+    # blocks of 16 words, of each document from its first word on
+    blocks = [t.split()[a : a + D.BLOCK] for _, t in docs for a in range(0, len(t.split()), D.BLOCK)]
+    of = {}
+    for b in blocks:
+        for w in set(b):
+            of[w] = of.get(w, 0) + 1
+    idf = lambda w: max(1e-3, np.log((len(blocks) + 1) / (of.get(w, 0) + 0.5)))
+    want = set()
+    for d, text in docs:
+        words = text.split()
+        for i, t in items:
+            item = t.split()
+            weight, span = np.array([idf(w) for w in item]), 2 * len(item) + 2 * D.BLOCK
+            if sum(w for w, x in zip(weight, item, strict=True) if x in set(words)) < D.SHARE * weight.sum():
+                continue
+            if any(D.common_subsequence(np.array(item), np.array(words[a : a + span]), weight)[0] >= D.SHARE * weight.sum() + 1e-4 for a in range(0, len(words), 4)):
+                want.add((d, i))
+    assert len(want) > 100 and len(want - sizes[256]) == 0
+    assert len(sizes[256] - want) <= 0.02 * len(want)
+
+
+def test_long_items_make_pieces():
+    text = " ".join(f"w{i}" for i in range(300))
+    got = D.pieces(text + " .", D.W.Powers())
+    assert " ".join(got) == text and [len(p.split()) for p in got] == [60] * 5 and D.pieces(" . ", D.W.Powers()) == []
+
+
 def test_answers(spark):
     docs, items, _ = _corpus(2, 60)
     question = dict(items)[0].replace(".", "").split()
