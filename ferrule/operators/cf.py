@@ -15,9 +15,9 @@ def item_model(ratings: DataFrame, least_raters: int = 3, least_common: int = 3)
     return pairs.pearson(keep_frequent(ratings, "item", least_raters), "item", "user", "stars", least_common)
 
 
-def user_model(ratings: DataFrame, *, n_hashes: int = 50, n_rows: int = 1, least_items: int = 3, least_common: int = 3, jaccard: float = 0.01, seed: int = 7) -> DataFrame:
+def user_model(ratings: DataFrame, *, n_hashes: int = 50, n_rows: int = 1, least_items: int = 3, least_common: int = 3, jaccard: float = 0.01, seed: int = 7, numbers: bool = False) -> DataFrame:
     """(a, b, n, w): users that go together, among those that share a MinHash bucket and enough items."""
-    banded = lsh.bands(lsh.signatures(ratings, "user", "item", lsh.hash_family(n_hashes, seed)), n_rows)
+    banded = lsh.bands(lsh.signatures(ratings, "user", "item", lsh.hash_family(n_hashes, seed), numbers=numbers), n_rows)
     rows = keep_frequent(ratings, "user", least_items)
     close = pairs.verify(lsh.candidates(banded), rows, "user", "item", jaccard).select("a", "b")
     xs = rows.select(F.col("user").alias("a"), "item", F.col("stars").alias("x"))

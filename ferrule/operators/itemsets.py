@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from ferrule.operators.lineage import cut
 
+#: Baskets that a task mines at a time.
+STRETCH = 50_000
+
 
 def baskets(rows: DataFrame, key: str, item: str, more_than: int = 0) -> DataFrame:
     """(basket, item), distinct, of baskets with more than so many items."""
@@ -47,9 +51,10 @@ def occurrences(rows: DataFrame, before: DataFrame | None, candidates: DataFrame
     return grown if candidates is None else grown.join(candidates.select("items"), "items", "left_semi")
 
 
-def count(candidates: DataFrame, rows: DataFrame, longest: int) -> DataFrame:
+def count(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     """(items, support): in how many baskets each candidate is contained.  All subsets of a candidate must be candidates."""
     out, held = None, None
+    longest = candidates.agg(F.max(F.size("items"))).first()[0] or 1
     for size in range(1, longest + 1):
         held = cut(occurrences(rows, held, candidates.where(F.size("items") == size)))
         part = held.groupBy("items").agg(F.count("*").alias("support"))
@@ -57,31 +62,38 @@ def count(candidates: DataFrame, rows: DataFrame, longest: int) -> DataFrame:
     return out
 
 
-def levels(rows: DataFrame, support: int, longest: int) -> Iterator[DataFrame]:
-    """Frequent itemsets of 1, 2, ... items.  Baskets are reduced to frequent items; a level of none ends it."""
+def levels(rows: DataFrame, support: int, longest: int | None = None, pairs: DataFrame | None = None) -> Iterator[DataFrame]:
+    """Frequent itemsets of 1, 2, ... items.  Baskets are reduced to frequent items; a level of none ends it.
+
+    `pairs`, if given, are the frequent pairs, found in another way."""
     level = cut(singles(rows, support))
     reduced = cut(rows.join(level.select(F.col("items")[0].alias("item")), "item", "left_semi").select("basket", "item"))
     held, size = occurrences(reduced, None, None), 1
-    while True:
+    while level.limit(1).count():
         yield level
         size += 1
-        if size > longest or not level.limit(1).count():
+        if longest and size > longest:
             return
         # pairs of frequent items need no candidates: both of their subsets are frequent
-        made = cut(occurrences(reduced, held, extend(level) if size > 2 else None))
+        made = cut(occurrences(reduced, held, pairs if size == 2 else extend(level)))
         level = cut(made.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support))
         held = made.join(level.select("items"), "items", "left_semi")
 
 
-def frequent(rows: DataFrame, support: int, longest: int = 10) -> DataFrame:
-    """(items, support) of all frequent itemsets up to a length; items ascend."""
-    found = list(levels(rows, support, longest))
-    out = found[0]
-    for level in found[1:]:
+def frequent(rows: DataFrame, support: int, longest: int | None = None) -> DataFrame:
+    """(items, support) of all frequent itemsets, or of those up to a length; items ascend."""
+    out = singles(rows, support)
+    for level in itertools.islice(levels(rows, support, longest), 1, None):
         out = out.unionByName(level)
     return out
 
 
+def of_size(rows: DataFrame, support: int, size: int) -> DataFrame:
+    """(items, support) of the frequent itemsets of one size; longer ones aren't looked for."""
+    found = list(levels(rows, support, size))
+    return found[size - 1] if len(found) >= size else singles(rows, support).limit(0)
+
+
 def pair_buckets(rows: DataFrame, buckets: int = 1000) -> DataFrame:
     """(bucket, n): how many pairs of whole-numbered items fall into each bucket, x * y modulo `buckets`."""
     a, b = (rows.select("basket", F.col("item").alias(n)) for n in "xy")
@@ -98,7 +110,15 @@ def hashed_pairs(rows: DataFrame, support: int, buckets: int = 1000) -> DataFram
     return counted.where(F.col("support") >= support).select(F.array("x", "y").alias("items"), "support")
 
 
-def _local(baskets_: list[frozenset], support: int, longest: int) -> set[tuple]:
+def frequent_by_buckets(rows: DataFrame, support: int, buckets: int = 1000) -> DataFrame:
+    """All frequent itemsets of whole-numbered items, the pairs by hashed pair counts, longer ones from these."""
+    out = singles(rows, support)
+    for level in itertools.islice(levels(rows, support, pairs=cut(hashed_pairs(rows, support, buckets))), 1, None):
+        out = out.unionByName(level)
+    return out
+
+
+def _local(baskets_: list[frozenset], support: int) -> set[tuple]:
     """Frequent itemsets of some baskets, by intersecting lists of basket numbers."""
     where: dict[tuple, set[int]] = {}
     for i, basket in enumerate(baskets_):
@@ -107,8 +127,7 @@ def _local(baskets_: list[frozenset], support: int, longest: int) -> set[tuple]:
     where = {k: v for k, v in where.items() if len(v) >= support}
     found = set(where)
     one = dict(where)
-    while where and longest > 1:
-        longest -= 1
+    while where:
         nxt: dict[tuple, set[int]] = {}
         for head, ids in where.items():
             for (x,), other in one.items():
@@ -121,26 +140,36 @@ def _local(baskets_: list[frozenset], support: int, longest: int) -> set[tuple]:
     return found
 
 
-def partition_candidates(rows: DataFrame, support: int, partitions: int, longest: int = 3) -> DataFrame:
-    """Itemsets that are frequent in some of the partitions, each held to its share of the support.
+def partition_candidates(rows: DataFrame, support: int, partitions: int, stretch: int = STRETCH) -> DataFrame:
+    """Itemsets that are frequent in some stretch of baskets, each held to its share of the support.
 
-    Whatever is frequent in all baskets is frequent in one of the partitions, so nothing is missed.  A share is
-    max(1, support // partitions)."""
-    share = max(1, support // partitions)
+    A task goes through its baskets in stretches of `stretch`, so that it never holds more than two; the share of a
+    stretch of b of all n baskets is ceil(support * b / n).  Whatever is frequent in all baskets is frequent in
+    one of the stretches, so nothing is missed."""
     kind = rows.schema["item"].dataType.simpleString()
-    whole = rows.groupBy("basket").agg(F.collect_list("item").alias("items")).repartition(partitions, "basket").select("items")
+    whole = cut(rows.groupBy("basket").agg(F.collect_list("item").alias("items")).repartition(partitions, "basket").select("items"))
+    n = max(1, whole.count())
 
     def local(batches):
-        held = [frozenset(x) for b in batches for x in b["items"]]
-        yield pd.DataFrame({"items": [list(x) for x in _local(held, share, longest)]})
+        held: list[frozenset] = []
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held += [frozenset(x) for x in batch["items"]]
+            # the rest is mined with the last whole stretch, as a few baskets alone would make all of their subsets
+            while len(held) >= 2 * stretch or (batch is None and held):
+                part, held = (held[:stretch], held[stretch:]) if len(held) >= 2 * stretch else (held, [])
+                found = _local(part, -(-support * len(part) // n))
+                yield pd.DataFrame({"items": [list(x) for x in found]})
 
     return whole.mapInPandas(local, f"items array<{kind}>").distinct()
 
 
-def by_partitions(rows: DataFrame, support: int, partitions: int, longest: int = 3) -> DataFrame:
-    """Frequent itemsets in two phases: candidates of partitions, then exact counts."""
-    candidates = cut(partition_candidates(rows, support, partitions, longest))
-    return count(candidates, rows, longest).where(F.col("support") >= support)
+def by_partitions(rows: DataFrame, support: int, partitions: int | None = None) -> DataFrame:
+    """Frequent itemsets in two phases: candidates of partitions, then exact counts.  Without a number of partitions,
+    as many as the session shuffles to."""
+    partitions = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    candidates = cut(partition_candidates(rows, support, partitions))
+    return count(candidates, rows).where(F.col("support") >= support)
 
 
 def report_lines(sets: DataFrame) -> DataFrame:

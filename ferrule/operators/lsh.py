@@ -44,7 +44,15 @@ def candidates(banded: DataFrame) -> DataFrame:
     return x.join(y, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
 
 
-def similar(rows: DataFrame, key: str, item: str, *, n_hashes: int = 40, n_rows: int = 1, least: float = 0.05, seed: int = 7) -> DataFrame:
+def similar(rows: DataFrame, key: str, item: str, *, n_hashes: int = 40, n_rows: int = 1, least: float = 0.05, seed: int = 7, numbers: bool = False) -> DataFrame:
     """(a, b, sim): keys whose sets are similar, of those that share a bucket."""
-    banded = bands(signatures(rows, key, item, hash_family(n_hashes, seed)), n_rows)
+    banded = bands(signatures(rows, key, item, hash_family(n_hashes, seed), numbers=numbers), n_rows)
     return verify(candidates(banded), rows, key, item, least)
+
+
+def sql(rows: str, n_hashes: int, seed: int = 7) -> str:
+    """Common table expressions, the last of them cand(a, b): keys of the query `rows` (key, x), x whole numbers, that share
+    a bucket of one hash; for DuckDB."""
+    least = ", ".join(f"min((x * {a} + {b}) % {MODULUS})" for a, b in hash_family(n_hashes, seed))
+    return f"""sg AS (SELECT key, [{least}] AS sig FROM ({rows}) GROUP BY 1), bk AS (SELECT key, unnest(sig) AS v, generate_subscripts(sig, 1) AS band FROM sg),
+        cand AS (SELECT DISTINCT x.key AS a, y.key AS b FROM bk x JOIN bk y ON x.band = y.band AND x.v = y.v AND x.key < y.key)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,5 +107,19 @@ def fm_clustered(levels: list[int], k: int = 10, *, powers: bool = False) -> int
 
 
 def reservoir(rows: DataFrame, size: int, key: str, seed: int = 3) -> DataFrame:
-    """A uniform sample of `size` rows: those of the least seeded hash of their key, so any order of rows gives the same."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(size)
+    """A uniform sample of `size` rows: those of the least seeded digest of their key, so any order of rows gives the same."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(size)
+
+
+def fm_by_clusters(rows: DataFrame, key: str, value: str, k: int = 10, seed: int = 23) -> DataFrame:
+    """(key, estimate): as fm_distinct, but by clusters of the exponents; see fm_clustered."""
+    some = numbered(rows, value, FM_MODULUS).where("__x is not null")
+    each = [F.max(c).alias(f"__r{i}") for i, c in enumerate(fm_levels(F.col("__x"), seed=seed))]
+    grouped = some.groupBy(key).agg(*each).select(key, F.array(*[f"__r{i}" for i in range(len(each))]).alias("levels"))
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches):  # one row a group, so few
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "estimate": [fm_clustered([int(x) for x in v], k) for v in b["levels"]]})
+
+    return grouped.mapInPandas(run, f"`{key}` {kind}, estimate bigint")

@@ -137,6 +137,15 @@ SQL = {
     "graph_isolated": f"WITH {_E} SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT s FROM b)",
     "components": f"WITH RECURSIVE {_REACH} SELECT id, component FROM comp",
     "modularity": f"WITH RECURSIVE {_REACH}, m AS (SELECT CAST(count(*) AS DOUBLE) AS m FROM e), i AS (SELECT component, count(*) AS e FROM e JOIN comp ON id = u GROUP BY 1), g AS (SELECT component, count(*) AS d FROM b JOIN comp ON id = s GROUP BY 1) SELECT round(sum(i.e / m - pow(g.d / (2 * m), 2)), 9) AS q FROM i JOIN g USING (component), m",
+    "label_propagation": f"WITH {_E}, l0 AS (SELECT DISTINCT s AS id, s AS label FROM b), " + ", ".join(f"v{i} AS (SELECT t AS id, label, count(*) AS n FROM b JOIN l{i - 1} ON id = s GROUP BY 1, 2), l{i} AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS r FROM v{i}) WHERE r = 1)" for i in range(1, 6)) + " SELECT id, label FROM l5",
+    "edge_betweenness": f"""WITH RECURSIVE {_E}, far(src, id, depth) USING KEY (src, id) AS (SELECT DISTINCT s, s, 0 FROM b
+            UNION SELECT f.src, b.t, min(f.depth) + 1 FROM far f JOIN b ON b.s = f.id LEFT JOIN recurring.far o ON o.src = f.src AND o.id = b.t WHERE o.id IS NULL GROUP BY 1, 2),
+        paths(src, id, depth, n) AS (SELECT src, id, depth, CAST(1 AS DOUBLE) FROM far WHERE depth = 0 UNION ALL SELECT p.src, f.id, f.depth, sum(p.n) FROM paths p JOIN b ON b.s = p.id JOIN far f ON f.src = p.src AND f.id = b.t AND f.depth = p.depth + 1 GROUP BY 1, 2, 3),
+        deepest AS (SELECT max(depth) AS d FROM far),
+        down AS (SELECT f.src, p.id AS up, f.id AS low, f.depth, p.n / f.n AS part FROM paths f JOIN b ON b.t = f.id JOIN paths p ON p.src = f.src AND p.id = b.s AND p.depth = f.depth - 1),
+        share(src, up, low, depth, part) AS (SELECT src, up, low, depth, part FROM down
+            UNION ALL SELECT d.src, d.up, d.low, d.depth, d.part * s.part FROM share s JOIN down d ON d.src = s.src AND d.low = s.up)
+        SELECT least(up, low) AS u, greatest(up, low) AS v, round(sum(part) / 2, 6) AS betweenness FROM share GROUP BY 1, 2""",
     "community_list": f"WITH RECURSIVE {_REACH} SELECT CAST(count(*) AS INT) AS size, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS members FROM comp GROUP BY component",
     "kmeans_assign_once": f"WITH {_LONG}, dist AS (SELECT idx, tag, sum(pow(x - total / n, 2)) AS d FROM x JOIN m ON x.pos = m.pos GROUP BY 1, 2) SELECT idx, CAST(arg_min(tag, d) AS BIGINT) AS tag, round(sqrt(min(d)), 6) AS distance FROM dist GROUP BY 1",
     "cluster_sumstats": f"WITH {_LONG} SELECT tag, CAST(pos AS INT) AS pos, n, round(total, 6) AS total, round(squares, 6) AS squares FROM m",

@@ -66,3 +66,49 @@ def bit_string(rows: DataFrame, order: str, bit: str) -> DataFrame:
 def append_csv(rows: DataFrame, path: str) -> None:
     """For foreachBatch: rows behind those that are there."""
     rows.write.mode("append").option("header", True).csv(path)
+
+
+def betweenness_file(edges: DataFrame, path: str) -> None:
+    """Edges (u, v, betweenness) as lines of one local file, highest first, then by both ends; read from the engine bit by bit."""
+    rows = edges.orderBy(F.desc("betweenness"), "u", "v").select(betweenness_line(F.col("u"), F.col("v"), F.col("betweenness")).alias("line"))
+    with open(path, "w") as f:
+        for r in rows.toLocalIterator():
+            f.write(f"{r.line}\n")
+
+
+def label_object(labels: DataFrame, path: str, idx: str = "idx", label: str = "label") -> None:
+    """{"idx": label} in the order of idx, as one local JSON file, written bit by bit."""
+    with open(path, "w") as f:
+        f.write("{")
+        for i, r in enumerate(labels.orderBy(idx).select(idx, label).toLocalIterator()):
+            f.write(f"{', ' if i else ''}{json.dumps(str(r[0]))}: {r[1]}")
+        f.write("}")
+
+
+def round_csv(stats: DataFrame, path: str) -> None:
+    """The figures of a chunked clustering, six whole numbers a round, under their header in one local file."""
+    names = ("round", "n_discard", "discard_points", "n_compressed", "compressed_points", "retained_points")
+    with open(path, "w") as f:
+        f.write("round_id,nof_cluster_discard,nof_point_discard,nof_cluster_compression,nof_point_compression,nof_point_retained\n")
+        for r in stats.orderBy("round").toLocalIterator():
+            f.write(",".join(str(r[n]) for n in names) + "\n")
+
+
+def append_tags(levels: DataFrame, seen: int, path: str) -> None:
+    """A block of leading tags (count, values) behind those in a local file, most frequent first."""
+    with open(path, "a") as f:
+        f.write(f"The number of tweets with tags from the beginning: {seen}\n")
+        for r in levels.orderBy(F.desc("count")).toLocalIterator():
+            f.writelines(f"{tag}  : {r['count']}\n" for tag in r["values"])
+        f.write("\n")
+
+
+def profile_model(items: DataFrame, users: DataFrame, path: str) -> None:
+    """Profiles of items (doc, word ...) and of users as the two tables of a model."""
+    for name, part in (("business_profile", items), ("user_profile", users)):
+        part.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_profile_model(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """Item and user profiles that profile_model() wrote."""
+    return spark.read.parquet(f"{path}/business_profile"), spark.read.parquet(f"{path}/user_profile")

@@ -69,8 +69,8 @@ def test_itemsets_agree(spark):
     rng = random.Random(2)
     baskets = [set(rng.choices(range(1, 14), k=rng.randint(1, 8))) for _ in range(60)]
     rows = spark.createDataFrame([(i, x) for i, b in enumerate(baskets) for x in b], "basket int, item int")
-    want = _brute_sets(baskets, 9, 3)
-    assert {tuple(r["items"]): r.support for r in itemsets.frequent(rows, 9, 3).collect()} == want
+    want = _brute_sets(baskets, 9, 8)
+    assert {tuple(r["items"]): r.support for r in itemsets.frequent(rows, 9).collect()} == want
     assert {tuple(r["items"]): r.support for r in itemsets.by_partitions(rows, 9, 3).collect()} == want
     assert {tuple(r["items"]): r.support for r in itemsets.hashed_pairs(rows, 9, 7).collect()} == {k: v for k, v in want.items() if len(k) == 2}
     found = {tuple(r["items"]) for r in itemsets.partition_candidates(rows, 9, 3).collect()}
@@ -141,7 +141,7 @@ def test_augmentation_bounds(spark):
     ratings = spark.createDataFrame(rows, "user string, item string, stars double")
     sims = spark.createDataFrame(like, "a string, b string, sim double")
     averages = spark.createDataFrame([("a", 4.0), ("t", 3.9), ("b", 1.0)], "item string, average double")
-    got = {(r.user, r.item): r.stars for r in hybrid.augment(ratings, sims, averages).collect()}
+    got = {(r.user, r.item): r.stars for r in hybrid.augment(ratings, sims, averages, 3.0).collect()}
     want = min(5.0, (4 * 0.8 + 4 / 0.9 + 4 / 1.0) / 2.7)
     assert got == {("three", "t"): pytest.approx(want), ("seven", "t"): pytest.approx(want)}
 
@@ -150,7 +150,7 @@ def test_augmentation_by_nearest(spark):
     ratings = spark.createDataFrame([("u", "a", 5.0), ("u", "b", 1.0), ("v", "t", 3.0)], "user string, item string, stars double")
     sims = spark.createDataFrame([("a", "t", 0.5), ("b", "t", 0.9)], "a string, b string, sim double")
     averages = spark.createDataFrame([("a", 4.0), ("b", 4.0), ("t", 3.0)], "item string, average double")
-    one = hybrid.augment(ratings, sims, averages, least=1, below=3, least_similar=1, nearest=1).where("item = 't'").collect()
+    one = hybrid.augment(ratings, sims, averages, 3.0, least=1, below=3, least_similar=1, nearest=1).where("item = 't'").collect()
     assert [tuple(r) for r in one] == [("u", "t", 1.0)]
 
 
@@ -293,13 +293,65 @@ def test_streams(spark, tmp_path):
     stream = readers.file_stream(spark, f"{tmp_path}/in", events.schema, files=1)
     windows.start(windows.english_tags(stream, "tags"), keep, f"{tmp_path}/c2", None).awaitTermination(120)
     some = windows.english_tags(events, "tags")
-    assert keep.seen == some.count()
+    assert keep.seen(spark) == some.count()
     sample = keep.sample(spark, events.schema)
     assert {r.k for r in sample.collect()} == {r.k for r in sketch.reservoir(some, 20, "k").collect()}
     top = windows.leading_tags(sample, "tags").collect()
     assert top[0]["values"] == ["a"] and top[0]["count"] == 20
 
 
+def test_reservoir_outlives_its_process(spark, tmp_path):
+    rows = spark.range(1050).selectExpr("id as k", "array(concat('t', id % 7)) as tags")
+    windows.Reservoir(50, "k", f"{tmp_path}/r")(rows.where("k < 1000"), 0)
+    again = windows.Reservoir(50, "k", f"{tmp_path}/r")  # a new process, whose first batch is repeated
+    again(rows.where("k >= 1000"), 1)
+    again(rows.where("k >= 1000"), 1)
+    assert again.seen(spark) == 1050
+    assert {r.k for r in again.sample(spark, rows.schema).collect()} == {r.k for r in sketch.reservoir(rows, 50, "k").collect()}
+    first = sketch.reservoir(rows.where("k < 1000"), 50, "k")
+    counts = first.selectExpr("explode(tags) as tag").groupBy("tag").count()
+    kept = windows.update_counts(counts, first, again.sample(spark, rows.schema), "k", "tags")
+    want = again.sample(spark, rows.schema).selectExpr("explode(tags) as tag").groupBy("tag").count()
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect()))
+    report = windows.TagReport(windows.Reservoir(50, "k", f"{tmp_path}/q"), "tags", f"{tmp_path}/tags.txt", 1)
+    report(rows.where("k < 4"), 0)
+    report(rows.where("k >= 4 and k < 8"), 1)
+    head = "The number of tweets with tags from the beginning: "
+    assert open(f"{tmp_path}/tags.txt").read() == head + "4\nt0  : 1\nt1  : 1\nt2  : 1\nt3  : 1\n\n" + head + "8\nt0  : 2\n\n"
+    lines = windows.WindowReport("k", f"{tmp_path}/w")
+    lines(rows, 0)
+    lines(rows.limit(0), 1)
+    got = spark.read.option("header", True).csv(f"{tmp_path}/w").orderBy("Time").collect()
+    assert sorted(int(r["Ground Truth"]) for r in got) == [0, 1050]
+    assert windows.keyword_stream(spark.createDataFrame([("COVID x",), ("y",), (None,)], "t string"), "t", "covid").count() == 1
+
+
+def test_report_files(spark, tmp_path):
+    edges = spark.createDataFrame([("b", "c", 1.5), ("a", "c", 2.0), ("a", "b", 1.5)], "u string, v string, betweenness double")
+    sinks.betweenness_file(edges, f"{tmp_path}/b")
+    assert open(f"{tmp_path}/b").read() == "('a', 'c'), 2.0\n('a', 'b'), 1.5\n('b', 'c'), 1.5\n"
+    sinks.label_object(spark.createDataFrame([(10, 1), (9, -1)], "idx long, label long"), f"{tmp_path}/l")
+    assert open(f"{tmp_path}/l").read() == '{"9": -1, "10": 1}'
+    stats = spark.createDataFrame([(1, 2, 3, 4, 5, 6), (0, 1, 1, 0, 0, 9)], cluster.STATS)
+    sinks.round_csv(stats, f"{tmp_path}/s")
+    assert open(f"{tmp_path}/s").read().splitlines()[1:] == ["0,1,1,0,0,9", "1,2,3,4,5,6"]
+    sinks.profile_model(edges, stats, f"{tmp_path}/m")
+    assert [x.count() for x in sinks.read_profile_model(spark, f"{tmp_path}/m")] == [3, 2]
+
+
+def test_factor_models_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(u, i, float((u * i) % 5 + 1)) for u in range(12) for i in range(10) if (u + i) % 4], "user long, item long, stars double")
+    model = hybrid.train_als(rows, least_user=1, least_item=1, rounds=3)
+    want = sorted(map(tuple, hybrid.predict_factors(model, rows.select("user", "item")).collect()))
+    hybrid.save_factors(model, f"{tmp_path}/f")
+    hybrid.save_model(model, f"{tmp_path}/n")
+    for again in (hybrid.Factors(spark, f"{tmp_path}/f"), hybrid.load_model(f"{tmp_path}/n")):
+        assert sorted(map(tuple, hybrid.predict_factors(again, rows.select("user", "item")).collect())) == want
+    few, many = hybrid.by_number(rows, "user", 8)
+    assert few.count() + many.count() == rows.count() and few.select("user").distinct().count() + many.select("user").distinct().count() == 12
+    assert hybrid.most_of_duplicates(rows.union(rows.withColumn("stars", rows.stars + 1))).agg({"stars": "min"}).first()[0] == 2.0
+
+
 def test_english_tags(spark):
     rows = spark.createDataFrame([(1, []), (2, ["covid", "x"]), (3, ["ok", "ж"]), (4, None)], "i int, tags array<string>")
     assert [r.i for r in windows.english_tags(rows, "tags").collect()] == [2]
