@@ -243,6 +243,20 @@ def sample(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_c
     return texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("text").alias("text")).select("id", "text", "y")
 
 
+def fit(rows: DataFrame) -> Model:
+    """A model of the bounded sample (id, text, y), trained in one task; only the model's table comes to the driver."""
+
+    def run(batches):
+        held = sorted({r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)})
+        model = train([r[1] for r in held], [r[2] for r in held])
+        yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.slope]), pa.array([model.shift])], names=["table", "slope", "shift"])
+
+    got = rows.repartition(1).mapInArrow(run, "table binary, slope double, shift double").first()
+    if got is None:  # no partition, and so no task
+        return train([], [])
+    return Model(np.frombuffer(got.table, np.float32), got.slope, got.shift)
+
+
 def held_out(ident):
     """Whether the crc32 of the id as text is 1 modulo 3."""
     return F.crc32(ident.cast("string").cast("binary")) % 3 == 1
@@ -259,8 +273,7 @@ def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     Columns of `docs` with the names of results are replaced.
     """
     spark = docs.sparkSession
-    rows = sorted({(r.id, r.text, r.y) for r in sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col).collect()})
-    model = spark.sparkContext.broadcast(train([r[1] for r in rows], [r[2] for r in rows]))
+    model = spark.sparkContext.broadcast(fit(sample(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col)))
     results = ["held_out", "score", "predicted"]
     base = docs.drop(*results) if keep else docs.select(id_col, text_col)
     names = base.columns
