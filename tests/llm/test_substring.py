@@ -12,16 +12,13 @@ def word_list(text):
 
 
 def brute(rows, min_words):
-    """The plain search: every stretch of min_words words that stands in an earlier place goes."""
+    """The plain search: every stretch of min_words words goes that is left whole in an earlier document."""
     seen, out = set(), {}
     for i, t in sorted(rows):
         found = word_list(t)
-        gone = set()
-        for k in range(len(found) - min_words + 1):
-            window = tuple(w for w, _, _ in found[k : k + min_words])
-            if window in seen:
-                gone |= set(range(k, k + min_words))
-            seen.add(window)
+        windows = [tuple(w for w, _, _ in found[k : k + min_words]) for k in range(len(found) - min_words + 1)]
+        gone = {j for k, w in enumerate(windows) if w in seen for j in range(k, k + min_words)}
+        seen |= {w for k, w in enumerate(windows) if gone.isdisjoint(range(k, k + min_words))}
         spans, k = [], 0
         while k < len(found):
             e = k
