@@ -57,7 +57,7 @@ def op8_latent_decontamination(spark, d):
 
 def op9_ngram_jaccard(spark, d):
     """Size of each document's shingle set and its class of similar documents."""
-    return jaccard.join(read(spark, d, "documents"))
+    return jaccard.join(read(spark, d, "documents")).drop("first")
 
 
 def op10_license_dice(spark, d):
@@ -77,7 +77,7 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_license_dice": op10_license_dice,
 }
-SQL: dict[str, str] = {"op7_quotation_linking": quotes.oracle_sql(), "op10_license_dice": licenses.oracle_sql()}
+SQL: dict[str, str] = {"op7_quotation_linking": quotes.oracle_sql(), "op9_ngram_jaccard": jaccard.oracle_sql(), "op10_license_dice": licenses.oracle_sql()}
 
 
 def pipeline(spark, d):
