@@ -307,7 +307,7 @@ def edges(start: np.ndarray, spans: list[dict], left: list[dict]) -> list[tuple[
     return [(int(start[s]), int(start[e]) if e < len(start) else None) for s, e in zip(turns[::2], turns[1::2], strict=True)]
 
 
-def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, scratch: list[str] | None = None) -> DataFrame:
+def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, row_col: str | None = None, scratch: list[str] | None = None) -> DataFrame:
     """`docs` with text_col cut, and `removed`: array<struct<start bigint, end bigint>>, the spans
     that were cut, in code points of the original text (end exclusive).
 
@@ -318,11 +318,14 @@ def remove(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", m
     rank behind all others.  A row that repeats another is held against it like
     any other, so its text goes if it is long enough.  All other columns are kept;
     an input column named `removed` is replaced.  min_words is 3 at least.
+    `row_col` may name a column of `docs` that numbers rows in their order, in a table that gives the same
+    numbers whenever it is read; it doesn't come back, and the table isn't written anew.
     """
     spark = docs.sparkSession
     scratch = [] if scratch is None else scratch
     row = "__row"
-    numbered = materialise(docs.drop("removed").withColumn(row, F.monotonically_increasing_id()), keep=scratch)
+    numbered = docs.drop("removed")
+    numbered = numbered.withColumnRenamed(row_col, row) if row_col else materialise(numbered.withColumn(row, F.monotonically_increasing_id()), keep=scratch)
     ident = F.coalesce(F.col(id_col).try_cast("bigint"), F.lit(LAST)).alias("id")
     narrow = numbered.select(F.col(row).alias("row"), ident, F.col(text_col).cast("string").alias("text"))
     work: list[str] = []
