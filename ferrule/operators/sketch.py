@@ -46,11 +46,13 @@ def bloom_bits(values: DataFrame, column: str, bits: int = 30_000, n_hashes: int
 def bloom_probe(values: DataFrame, column: str, filled: DataFrame, bits: int = 30_000, n_hashes: int = 20, seed: int = 11) -> DataFrame:
     """`values` with `seen`, 1 if all positions of the string are set, 0 for null and the empty string.
 
-    The filter is one row with at most `bits` positions, so it is broadcast."""
-    one = filled.agg(F.collect_set("position").alias("__bits"))
+    The filter is one row of `bits` bits, 64 a number, so it is broadcast, and a look at a position is one step."""
+    words = filled.groupBy(F.shiftright("position", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(position & 63 as int))")).alias("b"))
+    known = words.agg(F.map_from_entries(F.collect_list(F.struct("w", "b"))).alias("m"))
+    one = known.select(F.transform(F.sequence(F.lit(0), F.lit((bits - 1) // 64)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("bigint"))).alias("__bits"))
     at = bloom_positions(F.col("__x"), bits, n_hashes, seed)
     probed = numbered(values, column, NUMBERS).withColumn("__at", at).crossJoin(F.broadcast(one))
-    hit = (F.size("__at") > 0) & (F.size(F.array_except("__at", "__bits")) == 0)
+    hit = (F.size("__at") > 0) & F.forall("__at", lambda p: F.getbit(F.get("__bits", F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
     return probed.withColumn("seen", hit.cast("int")).drop("__bits", "__at", "__x")
 
 
