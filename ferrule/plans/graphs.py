@@ -95,8 +95,8 @@ def mahalanobis_nearest(spark, d):
     points = _points(spark, d)
     known = [(t, m, s) for t, (m, s) in _means(points).items()]
     row = F.broadcast(spark.createDataFrame([(known,)], "known array<struct<tag: bigint, mean: array<double>, deviation: array<double>>>"))
-    near = F.array_min(F.transform("known", lambda c: F.struct(F.round(cluster.mahalanobis(F.col("attrs"), c["mean"], c["deviation"]), 6).alias("distance"), c["tag"].alias("tag"))))
-    return points.crossJoin(row).withColumn("near", near).select("idx", "near.tag", "near.distance")
+    near = F.array_min(F.transform("known", lambda c: F.struct(cluster.mahalanobis(F.col("attrs"), c["mean"], c["deviation"]).alias("distance"), c["tag"].alias("tag"))))
+    return points.crossJoin(row).withColumn("near", near).select("idx", "near.tag", F.round("near.distance", 6).alias("distance"))
 
 
 def kmeans(spark, d):

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ferrule.operators import sketch
+from ferrule.plans import graphs
 
 
 def test_bloom_looks_up_bits(spark):
@@ -15,3 +16,12 @@ def test_bloom_looks_up_bits(spark):
     at = {r.id: set(r.p) for r in sketch.numbered(names, "s", sketch.NUMBERS).select("id", sketch.bloom_positions(F.col("__x")).alias("p")).collect()}
     assert {r.id: r.seen for r in probed.collect()} == {i: int(p <= on) for i, p in at.items()}
     assert all(r.seen == 0 for r in sketch.bloom_probe(names, "s", bits.limit(0)).collect())
+
+
+def test_nearest_by_the_whole_distance(spark, monkeypatch):
+    """Two labels whose distances differ in the ninth place only: the nearer one, not the lesser one."""
+    points = spark.createDataFrame([(1, [0.0], 1)], "idx bigint, attrs array<double>, label int")
+    monkeypatch.setattr(graphs, "_points", lambda spark, d: points)
+    monkeypatch.setattr(graphs, "_means", lambda points: {1: ([1.000000002], [1.0]), 2: ([1.000000001], [1.0])})
+    row = graphs.mahalanobis_nearest(spark, "").first()
+    assert (row.idx, row.tag, row.distance) == (1, 2, 1.0)
