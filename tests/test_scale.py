@@ -1,11 +1,65 @@
 """What keeps steps in proportion to their input: pairs that aren't shuffled, long lists that are dealt out, classes of equal items."""
 
+import random
+from itertools import combinations
+
+import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import sketch
+from ferrule.operators import cf, pairs, sketch
 from ferrule.plans import graphs
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _ratings(spark, users=40, items=25, seed=1):
+    rng = random.Random(seed)
+    rows = [(u, i, float(rng.randint(1, 5))) for u in range(users) for i in range(items) if rng.random() < 0.3 or i == 0]
+    return rows, spark.createDataFrame(rows, "user bigint, item bigint, stars double")
+
+
+def _by_hand(rows):
+    """n, sums and sizes of all pairs of users, by brute force."""
+    of = {}
+    for u, i, s in rows:
+        of.setdefault(u, {})[i] = s
+    out = {}
+    for a, b in combinations(sorted(of), 2):
+        both = of[a].keys() & of[b].keys()
+        if both:
+            x, y = [of[a][i] for i in both], [of[b][i] for i in both]
+            out[a, b] = (len(both), sum(x), sum(y), sum(v * v for v in x), sum(v * v for v in y), sum(p * q for p, q in zip([of[a][i] for i in both], [of[b][i] for i in both], strict=True)), len(of[a]), len(of[b]))
+    return out
+
+
+@pytest.mark.parametrize("longest", [512, 4])
+def test_pairs_of_long_lists(spark, monkeypatch, longest):
+    """The same pairs whether an item's keys stand in one list or, as item 0's, in many."""
+    monkeypatch.setattr(pairs, "LIST", longest)
+    rows, ratings = _ratings(spark)
+    got = {(r.a, r.b): tuple(r)[2:] for r in pairs.pairs(ratings, "user", "item", "stars", sized=True).collect()}
+    assert got == _by_hand(rows)
+    names = pairs.pairs(ratings.select(F.concat(F.lit("u"), "user").alias("user"), "item"), "user", "item", least=3)
+    assert {(r.a, r.b): r.n for r in names.collect()} == {tuple(sorted((f"u{a}", f"u{b}"))): v[0] for (a, b), v in _by_hand(rows).items() if v[0] >= 3}
+
+
+def test_pairs_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PAIRS", 100)
+    _, ratings = _ratings(spark)
+    for found in (pairs.jaccard(ratings, "user", "item", 0.1), pairs.pearson(ratings, "user", "item", "stars"), cf.item_model(ratings)):
+        plan = _plan(found)
+        assert "hashpartitioning(a#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(a#" in x and ", b#" in x]
+
+
+def test_tasks_grow_with_pairs(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "PAIRS", 100)
+    rows, ratings = _ratings(spark)
+    total = sum(v[0] for v in _by_hand(rows).values())
+    assert pairs.pairs(ratings, "user", "item").rdd.getNumPartitions() == -(-total // 100)
+
+
 def test_bloom_looks_up_bits(spark):
     """A probe takes a step a position, not one for every bit that is set."""
     names = spark.range(3000).select(F.concat(F.lit("name "), "id").alias("s"), "id")
