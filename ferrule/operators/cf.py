@@ -17,15 +17,11 @@ def item_model(ratings: DataFrame, least_raters: int = 3, least_common: int = 3)
 
 def user_model(ratings: DataFrame, *, n_hashes: int = 50, n_rows: int = 1, least_items: int = 3, least_common: int = 3, jaccard: float = 0.01, seed: int = 7, numbers: bool = False) -> DataFrame:
     """(a, b, n, w): users that go together, among those that share a MinHash bucket and enough items."""
-    banded = lsh.bands(lsh.signatures(ratings, "user", "item", lsh.hash_family(n_hashes, seed), numbers=numbers), n_rows)
+    placed = lsh.buckets(lsh.signatures(ratings, "user", "item", lsh.hash_family(n_hashes, seed), numbers=numbers), n_rows)
+    # sums of all pairs take one step an item in common; candidates, of which there are about as many, would take a set each
     rows = keep_frequent(ratings, "user", least_items)
-    close = pairs.verify(lsh.candidates(banded), rows, "user", "item", jaccard).select("a", "b")
-    xs = rows.select(F.col("user").alias("a"), "item", F.col("stars").alias("x"))
-    ys = rows.select(F.col("user").alias("b"), "item", F.col("stars").alias("y"))
-    sums = close.join(xs, "a").join(ys, ["b", "item"]).groupBy("a", "b").agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum(F.expr("x*x")).alias("sxx"), F.sum(F.expr("y*y")).alias("syy"), F.sum(F.expr("x*y")).alias("sxy")
-    )
-    return sums.where(F.col("n") >= least_common).select("a", "b", "n", pairs.pearson_of_sums().alias("w")).where("w > 1e-9")
+    close = pairs.with_sizes(pairs.pearson(rows, "user", "item", "stars", least_common), rows, "user").where(pairs.of_union() >= jaccard)
+    return lsh.sharing(close, placed).select("a", "b", "n", "w")
 
 
 def exact_user_model(ratings: DataFrame, least_items: int = 3, least_common: int = 3) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.functions.scalars import linear_hash
-from ferrule.operators.pairs import verify
+from ferrule.operators import pairs
 
 #: A prime just above 2^31; hash values are below it, so that products fit into 64 bits.
 MODULUS = 2147483659
@@ -28,14 +28,26 @@ def signatures(rows: DataFrame, key: str, item: str, hashes: list[tuple[int, int
 
     Items are hashed to 31 bits first, unless they are `numbers` already."""
     base = rows.select(F.col(key).alias("key"), (F.col(item).cast("bigint") if numbers else F.pmod(F.xxhash64(item), F.lit(1 << 31))).alias("x"))
-    return base.groupBy("key").agg(F.array(*[F.min(linear_hash(F.col("x"), a, b, modulus)) for a, b in hashes]).alias("sig"))
+    # items are shuffled, not the least values that parts of a key have: these are as many numbers as there are hashes
+    return base.repartition("key").groupBy("key").agg(F.array(*[F.min(linear_hash(F.col("x"), a, b, modulus)) for a, b in hashes]).alias("sig"))
 
 
 def bands(sigs: DataFrame, n_rows: int) -> DataFrame:
     """(key, band, bucket): a bucket for every n_rows values of a signature."""
+    return buckets(sigs, n_rows).select("key", F.posexplode("buckets").alias("band", "bucket"))
+
+
+def buckets(sigs: DataFrame, n_rows: int) -> DataFrame:
+    """(key, buckets): the bucket of each band, in an array."""
     n = F.size("sig") / n_rows
-    cut = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("sig", i * n_rows + 1, n_rows)).alias("bucket")))
-    return sigs.select("key", F.explode(cut).alias("x")).select("key", "x.band", "x.bucket")
+    return sigs.select("key", F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: F.xxhash64(F.slice("sig", i * n_rows + 1, n_rows))).alias("buckets"))
+
+
+def sharing(found: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of `found` that share a bucket of some band; `placed` is what buckets() returns."""
+    x, y = (placed.select(F.col("key").alias(k), F.col("buckets").alias(f"__{k}")) for k in "ab")
+    both = found.join(x, "a").join(y, "b").where(F.exists(F.zip_with("__a", "__b", lambda p, q: p == q), lambda same: same))
+    return both.select(*found.columns)
 
 
 def candidates(banded: DataFrame) -> DataFrame:
@@ -45,9 +57,15 @@ def candidates(banded: DataFrame) -> DataFrame:
 
 
 def similar(rows: DataFrame, key: str, item: str, *, n_hashes: int = 40, n_rows: int = 1, least: float = 0.05, seed: int = 7, numbers: bool = False) -> DataFrame:
-    """(a, b, sim): keys whose sets are similar, of those that share a bucket."""
-    banded = bands(signatures(rows, key, item, hash_family(n_hashes, seed), numbers=numbers), n_rows)
-    return verify(candidates(banded), rows, key, item, least)
+    """(a, b, sim): keys whose sets are similar, of those that share a bucket.
+
+    With one row a band, keys that share an item are candidates about as often as not, and verifying a candidate
+    item by item costs as much as a whole set: common items of all pairs are counted instead, which takes one step
+    each, and of the similar pairs those are kept that share a bucket.  With more rows, candidates are few, and are verified."""
+    sigs = signatures(rows, key, item, hash_family(n_hashes, seed), numbers=numbers)
+    if n_rows > 1:
+        return pairs.verify(candidates(bands(sigs, n_rows)), rows, key, item, least)
+    return sharing(pairs.jaccard(rows, key, item, least), buckets(sigs, n_rows)).select("a", "b", "sim")
 
 
 def sql(rows: str, n_hashes: int, seed: int = 7) -> str:

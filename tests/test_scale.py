@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import cf, pairs, sketch
+from ferrule.operators import cf, lsh, pairs, sketch
 from ferrule.plans import graphs
 
 
@@ -60,6 +60,20 @@ def test_tasks_grow_with_pairs(spark, monkeypatch):
     assert pairs.pairs(ratings, "user", "item").rdd.getNumPartitions() == -(-total // 100)
 
 
+def test_lsh_verifies_by_counts(spark):
+    """Pairs that share a bucket and are similar, as candidates and their verification find them, without a join of candidates with items."""
+    _, ratings = _ratings(spark)
+    sigs = lsh.signatures(ratings, "user", "item", lsh.hash_family(6, 7), numbers=True)
+    want = {tuple(r) for r in pairs.verify(lsh.candidates(lsh.bands(sigs, 1)), ratings, "user", "item", 0.2).collect()}
+    found = lsh.similar(ratings, "user", "item", n_hashes=6, least=0.2, numbers=True)
+    assert want and {tuple(r) for r in found.collect()} == want
+    model = cf.user_model(ratings, n_hashes=6, jaccard=0.2, numbers=True)
+    exact = {(r.a, r.b): (r.n, r.w) for r in cf.exact_user_model(ratings).collect()}
+    assert {(r.a, r.b): (r.n, r.w) for r in model.collect()} == {k: v for k, v in exact.items() if k in {(a, b) for a, b, _ in want}}
+    for df in (found, model):
+        assert "band" not in _plan(df)
+
+
 def test_bloom_looks_up_bits(spark):
     """A probe takes a step a position, not one for every bit that is set."""
     names = spark.range(3000).select(F.concat(F.lit("name "), "id").alias("s"), "id")
