@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import cf, lsh, pairs, sketch
+from ferrule.operators import cf, hybrid, lsh, pairs, sketch
 from ferrule.plans import graphs
 
 
@@ -93,3 +93,23 @@ def test_nearest_by_the_whole_distance(spark, monkeypatch):
     monkeypatch.setattr(graphs, "_means", lambda points: {1: ([1.000000002], [1.0]), 2: ([1.000000001], [1.0])})
     row = graphs.mahalanobis_nearest(spark, "").first()
     assert (row.idx, row.tag, row.distance) == (1, 2, 1.0)
+
+
+def test_similarity_and_augmentation_by_classes(spark, monkeypatch):
+    """Items of equal words are compared once, in lists of two, and give what all pairs of items give."""
+    monkeypatch.setattr(hybrid, "CHUNK", 2)
+    words = {i: ["a", "b", "c", "d"][: 4 - i % 2] if i < 12 else [f"w{i % 3}"] for i in range(20)}
+    items = spark.createDataFrame([(i, w) for i, w in words.items()] + [(98, []), (99, [""])], "item bigint, words array<string>")
+    sims = {(a, b): len({*words[a]} & {*words[b]}) / len({*words[a]} | {*words[b]}) for a, b in combinations(words, 2)}
+    sims = {k: v for k, v in sims.items() if v >= 0.7}
+    found = hybrid.category_similarity(items, "item", F.col("words"), 0.7)
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(sims) and {(a, b): s for a, b, s in rows} == sims and set(sims.values()) == {0.75, 1.0}
+    _, ratings = _ratings(spark, users=12, items=20)
+    averages = ratings.where("item % 5 > 0").groupBy("item").agg(F.avg("stars").alias("average"))
+    classes = hybrid.category_classes(items, "item", F.col("words"))
+    like = hybrid.class_similarity(classes, 0.7)
+    assert like.count() == 1  # of the pairs of items, one of classes
+    for nearest in (None, 2):
+        got, want = ({(r.user, r.item): r.stars for r in hybrid.augment(ratings, s, averages, 3.0, below=9, least_similar=2, nearest=nearest, members=m).collect()} for s, m in ((like, classes), (found, None)))
+        assert got and got == pytest.approx(want)
