@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.operators import cf, hybrid, lsh, pairs, sketch
-from ferrule.plans import graphs
+from ferrule.plans import graphs, recommend
 
 
 def _plan(df):
@@ -113,3 +113,17 @@ def test_similarity_and_augmentation_by_classes(spark, monkeypatch):
     for nearest in (None, 2):
         got, want = ({(r.user, r.item): r.stars for r in hybrid.augment(ratings, s, averages, 3.0, below=9, least_similar=2, nearest=nearest, members=m).collect()} for s, m in ((like, classes), (found, None)))
         assert got and got == pytest.approx(want)
+
+
+def test_models_leave_no_training_tables(spark, monkeypatch):
+    """als_thresholds drops what each of its models was trained on before the next one is."""
+    _, ratings = _ratings(spark, users=60, items=30)
+    monkeypatch.setattr(recommend, "ratings", lambda spark, d: ratings)
+    train, held = hybrid.train_als, []
+
+    def spied(rows, *, keep, **o):
+        held.append(len(keep))
+        return train(rows, keep=keep, **o)
+
+    monkeypatch.setattr(hybrid, "train_als", spied)
+    assert recommend.als_thresholds(spark, "").count() == 4 and held == [0, 0, 0, 0]
