@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.operators.lineage import cut
+from ferrule.operators.lineage import cut, written
 
 #: Baskets that a task mines at a time.
 STRETCH = 50_000
@@ -51,6 +51,16 @@ def occurrences(rows: DataFrame, before: DataFrame | None, candidates: DataFrame
     return grown if candidates is None else grown.join(candidates.select("items"), "items", "left_semi")
 
 
+def grown(held: DataFrame) -> DataFrame:
+    """(basket, items): sets one longer, each of two that differ in the last item only and stand in the same basket.
+
+    `held` has the frequent sets of every basket, so no more is made than baskets hold; candidates of frequent sets
+    that never occur together, of which there may be many more, aren't."""
+    a = held.select("basket", F.expr("slice(items, 1, size(items) - 1)").alias("head"), F.element_at("items", -1).alias("x"))
+    b = a.select("basket", "head", F.col("x").alias("y"))
+    return a.join(b, ["basket", "head"]).where("x < y").select("basket", F.concat("head", F.array("x", "y")).alias("items"))
+
+
 def count(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     """(items, support): in how many baskets each candidate is contained.  All subsets of a candidate must be candidates."""
     out, held = None, None
@@ -75,7 +85,7 @@ def levels(rows: DataFrame, support: int, longest: int | None = None, pairs: Dat
         if longest and size > longest:
             return
         # pairs of frequent items need no candidates: both of their subsets are frequent
-        made = cut(occurrences(reduced, held, pairs if size == 2 else extend(level)))
+        made = cut(occurrences(reduced, held, pairs) if size == 2 else grown(held))
         level = cut(made.groupBy("items").agg(F.count("*").alias("support")).where(F.col("support") >= support))
         held = made.join(level.select("items"), "items", "left_semi")
 
@@ -112,10 +122,11 @@ def hashed_pairs(rows: DataFrame, support: int, buckets: int = 1000) -> DataFram
 
 def frequent_by_buckets(rows: DataFrame, support: int, buckets: int = 1000) -> DataFrame:
     """All frequent itemsets of whole-numbered items, the pairs by hashed pair counts, longer ones from these."""
-    out = singles(rows, support)
-    for level in itertools.islice(levels(rows, support, pairs=cut(hashed_pairs(rows, support, buckets))), 1, None):
-        out = out.unionByName(level)
-    return out
+    rows = written(rows)
+    out = None
+    for level in levels(rows, support, pairs=cut(hashed_pairs(rows, support, buckets))):
+        out = level if out is None else out.unionByName(level)
+    return singles(rows, support) if out is None else out
 
 
 def _local(baskets_: list[frozenset], support: int) -> set[tuple]:

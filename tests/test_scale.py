@@ -6,7 +6,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from ferrule.operators import cf, hybrid, lsh, pairs, sketch
+from ferrule.operators import cf, hybrid, itemsets, lsh, pairs, sketch
 from ferrule.plans import graphs, recommend
 
 
@@ -127,3 +127,20 @@ def test_models_leave_no_training_tables(spark, monkeypatch):
 
     monkeypatch.setattr(hybrid, "train_als", spied)
     assert recommend.als_thresholds(spark, "").count() == 4 and held == [0, 0, 0, 0]
+
+
+def test_itemsets_grow_within_baskets(spark, monkeypatch):
+    """Frequent sets by brute force, without candidates that no basket holds: here 60 pairs that share an item, and no third one."""
+    rng = random.Random(5)
+    baskets = [rng.sample(range(12), rng.randint(1, 6)) for _ in range(60)] + [[100, 101 + i % 20] for i in range(60)]
+    rows = spark.createDataFrame([(b, i) for b, x in enumerate(baskets) for i in x], "basket bigint, item bigint")
+    monkeypatch.setattr(itemsets, "extend", lambda level: pytest.fail("candidates are made"))
+    want = {}
+    for x in baskets:
+        for n in range(1, len(x) + 1):
+            for s in combinations(sorted(x), n):
+                want[s] = want.get(s, 0) + 1
+    want = {s: n for s, n in want.items() if n >= 3}
+    assert max(map(len, want)) >= 3
+    for found in (itemsets.frequent(rows, 3), itemsets.frequent_by_buckets(rows, 3)):
+        assert {tuple(r["items"]): r.support for r in found.collect()} == want
